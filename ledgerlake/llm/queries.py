@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ._spark import table
+from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
 from .packing import pack
 
@@ -23,5 +24,23 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_near_dedup": op1_near_dedup, "op2_best_fit_packing": op2_best_fit_packing}
-SQL: dict[str, str] = {}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document that keeps a line with words, or has had none."""
+    kept = dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_best_fit_packing, op10_line_dedup)}
+SQL: dict[str, str] = {
+    "op10_line_dedup": r"""WITH t AS (SELECT doc_id, pos - 1 AS line_no, line, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL)),
+l AS (SELECT * FROM t WHERE len(w) > 0),
+u AS (SELECT line, min({'d': doc_id, 'n': line_no}) AS o, any_value(w) AS w FROM l GROUP BY line),
+v AS (SELECT o, i, CASE WHEN i = 0 THEN w ELSE list_concat(w[:i - 1], w[i + 1:]) END AS x FROM (SELECT o, w, unnest(range(0, len(w) + 1)) AS i FROM u WHERE len(w) >= 8)),
+s AS (SELECT x, i, min(o) AS m FROM v GROUP BY x, i),
+h AS (SELECT x, min(m) AS f, min(CASE WHEN i = 0 THEN m END) AS z FROM s GROUP BY x),
+n AS (SELECT DISTINCT v.o FROM v JOIN s ON v.x = s.x AND v.i = s.i JOIN h ON v.x = h.x WHERE s.m < v.o OR h.z < v.o OR (v.i = 0 AND h.f < v.o)),
+g AS (SELECT l.doc_id, l.line_no, (u.o <> {'d': l.doc_id, 'n': l.line_no} OR u.o IN (SELECT o FROM n)) AS gone FROM l JOIN u ON l.line = u.line),
+k AS (SELECT t.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE NOT gone) AS left_over, coalesce(string_agg(t.line, chr(10) ORDER BY t.line_no) FILTER (WHERE NOT coalesce(gone, false)), '') AS x FROM t LEFT JOIN g ON t.doc_id = g.doc_id AND t.line_no = g.line_no GROUP BY t.doc_id)
+SELECT doc_id, n_lines, n_removed, sha256(x) AS text_sha256 FROM k WHERE n_removed = 0 OR left_over > 0
+UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL""",
+}
