@@ -16,11 +16,13 @@ def shared_dir(spark: SparkSession) -> str:
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
-    Lineage ends at files that survive any executor, and later uses prune columns.
+    Lineage ends at files that survive any executor, and later uses prune columns. What was shuffled to
+    make ``df`` is then garbage; the collection lets Spark's cleaner free that disk at once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,7 +1,6 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame functions only.
 
-A line (text between line feeds) goes when an earlier line is near it; earlier: smaller
-(doc_id, hash of the text, line number). Near: equal, or both of at least ``min_words`` words (split at
+A line (text between line feeds) goes when an earlier line is near it; earlier: smaller (doc_id, line number). Near: equal, or both of at least ``min_words`` words (split at
 white space) and at most one word inserted, deleted or replaced.
 
 1. Equal lines: 128-bit hashes, the earliest occurrence of each (partial aggregation, no text moves).
@@ -16,8 +15,9 @@ white space) and at most one word inserted, deleted or replaced.
 Lines over ``LONG`` words sum position-keyed word hashes along the line, so that cost stays linear.
 
 Defined cases: null texts stay null; lines without a word are never removed; a document whose every line
-with words goes is removed; rows equal in doc_id and text are one document, all of them stay or go; a null
-doc_id comes last in order; extra columns pass through; an empty table gives an empty result.
+with words goes is removed; rows with equal doc_id are one document (equal lines with
+equal numbers in them do not remove each other); a null doc_id counts as the largest; extra columns pass
+through; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,26 +27,27 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ._spark import settle
 
 LONG = 512
-SPACE = r"[\x20\x09-\x0D]+"
 LAST = 2**63 - 1
 
 
 def words(line: Column) -> Column:
-    return F.filter(F.split(line, SPACE), lambda x: x != "")
+    return F.array_remove(F.split(F.translate(line, "\t\n\x0b\x0c\r", "     "), " "), "")
 
 
-def document_key() -> list[Column]:
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.xxhash64("text").alias("th")]
+def bind(value: Column, f) -> Column:
+    """``f(value)`` with ``value`` evaluated once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
-def half_keys(w: Column, n: Column) -> Column:
-    """Keys such that two lines of n or more words, one edit apart, share one: halves for this length and the next."""
+def half_keys(w: Column, n: Column, least: int) -> Column:
+    """k0 to k3 (null where none) such that two lines of n or more words, one edit apart, share one: halves for this length and the next."""
 
     def of(length: Column) -> list[Column]:
         t = F.floor((length - 1) / 4).cast("int") * 2
         return [F.xxhash64(F.lit(0), t, F.slice(w, F.lit(1), t)), F.xxhash64(F.lit(1), t, F.slice(w, n - t + 1, t))]
 
-    return F.array_distinct(F.array(*of(n), *of(n + 1)))
+    same, other = of(n), F.floor((n - 1) / 4) != F.floor(n / 4)
+    return F.struct(*[F.when(n >= least, x).alias(f"k{i}") for i, x in enumerate(same)], *[F.when((n >= least) & other, x).alias(f"k{i}") for i, x in enumerate(of(n + 1), 2)])
 
 
 def variants(lines: DataFrame) -> DataFrame:
@@ -64,47 +65,50 @@ def variants(lines: DataFrame) -> DataFrame:
     return short.select("v", "i", "o").unionByName(long).unionByName(whole)
 
 
+KEYS = ("k0", "k1", "k2", "k3")
+
+
 def removed_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
-    """Lines of ``docs(doc_id, text)`` that go: d, th (the document's key), line_no (from 0)."""
-    text = docs.select(*document_key(), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    w = words(F.col("line"))
-    occurrences = (
-        text.withColumn("w", w)
-        .withColumn("n", F.size("w"))
-        .filter("n > 0")
-        .select("d", "th", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), F.when(F.col("n") >= min_words, half_keys(F.col("w"), F.col("n"))).alias("halves"))
-    )
-    occurrences = settle(occurrences)
-    order = F.struct("d", "th", "line_no")
-    distinct = settle(occurrences.groupBy("h1", "h2").agg(F.min(order).alias("o")))
-    first = occurrences.join(distinct.select("o.*"), ["d", "th", "line_no"], "left_semi").filter("halves is not null")
-    halves = first.select("d", "th", "line_no", F.explode("halves").alias("key"))
-    shared = halves.groupBy("key").agg(F.min(order).alias("a"), F.max(order).alias("b")).filter("a < b").select("key")
-    wanted = halves.join(shared, "key").groupBy("d", "th").agg(F.collect_set("line_no").alias("at"))
-    keyed = docs.select(*document_key(), "text").filter("text is not null")
-    lines = keyed.join(wanted, ["d", "th"]).dropDuplicates(["d", "th"]).withColumn("lines", F.split("text", "\n")).select("d", "th", F.explode("at").alias("line_no"), "lines")
-    lines = settle(lines.select(order.alias("o"), words(F.element_at("lines", F.col("line_no") + 1)).alias("w")).withColumn("n", F.size("w")))
-    near = variants(lines)
-    groups = near.groupBy("v", "i").agg(F.min("o").alias("m"), F.max("o").alias("x"))
-    groups = settle(groups)
-    heads = groups.groupBy("v").agg(F.min("m").alias("first"), F.max("x").alias("x"), F.min(F.when(F.col("i") == 0, F.col("m"))).alias("whole"), F.min_by("i", "m").alias("j")).filter("first < x").drop("x")
-    meet = groups.join(heads, "v").select("v", "i", F.explode(F.array(F.struct(F.when(F.col("i") == 0, F.col("first")).otherwise(F.col("m")).alias("e"), F.when(F.col("i") == 0, F.col("j")).otherwise(F.col("i")).alias("k")), F.struct(F.col("whole").alias("e"), F.lit(0).alias("k")))).alias("t")).select("v", "i", "t.*").filter("e is not null")
-    pairs = near.join(meet, ["v", "i"]).filter("e < o").select("o", "e", "i", "k").groupBy("o", "e").agg(F.min(F.struct("i", "k")).alias("t")).select("o", "e", "t.*")
+    """Lines of ``docs(doc_id, text)`` that go: d (doc_id, ``LAST`` for null), line_no (from 0), h1 (hash of the line)."""
+    d = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d")
+    text = docs.select(d, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    seen = bind(words(F.col("line")), lambda w: F.struct(F.size(w).alias("n"), half_keys(w, F.size(w), min_words).alias("k")))
+    occurrences = text.select("d", "line_no", "line", seen.alias("s")).filter("s.n > 0")
+    occurrences = settle(occurrences.select("d", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), "s.k.*"))
+    order = F.struct("d", "line_no")
+    distinct = settle(occurrences.groupBy("h1", "h2").agg(F.min(order).alias("o"), F.max(order).alias("x"), *[F.max(k).alias(k) for k in KEYS]))
+    halves = distinct.select("o", "h1", F.explode(F.array(*KEYS)).alias("key")).filter("key is not null")
+    shared = halves.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("key")
+    wanted = halves.select("o", "key").join(shared, "key").groupBy("o.d").agg(F.collect_set("o.line_no").alias("at"))
+    lines = docs.select(d, "text").filter("text is not null").join(wanted, "d").select("d", F.explode("at").alias("line_no"), F.split("text", "\n").alias("lines"))
+    lines = lines.filter(F.col("line_no") < F.size("lines")).select(order.alias("o"), F.element_at("lines", F.col("line_no") + 1).alias("line"))
+    lines = lines.select("o", F.xxhash64("line").alias("h1"), words(F.col("line")).alias("w")).withColumn("n", F.size("w")).filter(F.col("n") >= min_words)
+    lines = settle(lines.dropDuplicates(["o", "h1"]).drop("h1"))
+    near = settle(variants(lines))
+    groups = settle(near.groupBy("v", "i").agg(F.min("o").alias("m"), F.max("o").alias("x")))
+    heads = groups.groupBy("v").agg(F.min("m").alias("first"), F.max("x").alias("x"), F.min(F.when(F.col("i") == 0, F.col("m"))).alias("whole"), F.min(F.struct("m", "i")).alias("j")).filter("first < x").drop("x")
+    own = F.when(F.col("i") == 0, F.struct(F.col("first").alias("e"), F.col("j.i").alias("k"))).otherwise(F.struct(F.col("m").alias("e"), F.col("i").alias("k")))
+    meet = groups.join(heads, "v").select("v", "i", F.explode(F.array(own, F.struct(F.col("whole").alias("e"), F.lit(0).alias("k")))).alias("t")).select("v", "i", "t.*").filter("e is not null")
+    pairs = near.join(meet, ["v", "i"]).filter("e < o").groupBy("o", "e").agg(F.min(F.struct("i", "k")).alias("t")).select("o", "e", "t.*")
     both = pairs.join(lines.select("o", "w"), "o").join(lines.select(F.col("o").alias("e"), F.col("w").alias("y")), "e")
     without = lambda a, i: F.when(F.col(i) == 0, F.col(a)).otherwise(F.concat(F.slice(a, F.lit(1), F.greatest(F.col(i) - 1, F.lit(0))), F.slice(a, F.col(i) + 1, F.size(a))))
     near_lines = both.filter(without("w", "i") == without("y", "k")).select("o").distinct()
-    gone = distinct.join(near_lines.withColumn("near", F.lit(True)), "o", "left")
-    drop = occurrences.select("d", "th", "line_no", "h1", "h2").join(gone, ["h1", "h2"]).filter(F.col("near") | (F.struct("d", "th", "line_no") != F.col("o")))
-    return drop.select("d", "th", "line_no")
+    gone = distinct.select("h1", "h2", "o", "x").join(near_lines.withColumn("near", F.lit(True)), "o", "left").filter("near or o < x")
+    drop = occurrences.select("d", "line_no", "h1", "h2").join(gone, ["h1", "h2"]).filter(F.col("near") | (order != F.col("o")))
+    return settle(drop.select("d", "line_no", "h1"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
     """``docs`` with repeated lines removed from ``text``, and columns n_lines and n_removed after the others."""
-    drop = removed_lines(docs, min_words).groupBy("d", "th").agg(F.collect_set("line_no").alias("_drop"))
-    key = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text").select("_row", *document_key())
-    out = key.join(drop, ["d", "th"], "left").withColumn("_lines", F.split("_row.text", "\n"))
-    out = out.withColumn("_n", F.size("_lines")).withColumn("_gone", F.coalesce(F.size("_drop"), F.lit(0)))
-    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.col("_n") - 1), "_drop"), lambda i: F.element_at("_lines", i + 1)), "\n")
-    out = out.withColumn("_text", F.when(F.col("_drop").isNull(), F.col("_row.text")).otherwise(kept))
-    out = out.filter(F.col("_drop").isNull() | F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
-    return out.select(*[F.col("_text").alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns], F.coalesce(F.col("_n"), F.lit(0)).cast("long").alias("n_lines"), F.col("_gone").cast("long").alias("n_removed"))
+    drop = removed_lines(docs, min_words).groupBy("d").agg(F.collect_set(F.struct("line_no", "h1")).alias("_drop"))
+    row = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"))
+    out = row.join(drop, "d", "left").withColumn("_lines", F.split("_row.text", "\n"))
+    left = F.array_except(F.transform("_lines", lambda x, i: F.struct(i.alias("line_no"), F.xxhash64(x).alias("h1"))), "_drop")
+    out = out.withColumn("_left", F.when(F.col("_drop").isNotNull(), left))
+    text = F.when(F.col("_left").isNull(), F.col("_row.text")).otherwise(F.array_join(F.transform("_left", lambda x: F.element_at("_lines", x["line_no"] + 1)), "\n"))
+    n = F.coalesce(F.size("_lines"), F.lit(0)).cast("long")
+    removed = F.when(F.col("_left").isNull(), F.lit(0)).otherwise(F.size("_lines") - F.size("_left")).cast("long")
+    names = {c: f"_{i}" for i, c in enumerate(docs.columns)}
+    out = out.select(*[text.alias(x) if c == "text" else F.col(f"_row.`{c}`").alias(x) for c, x in names.items()], n.alias("_lines"), removed.alias("_gone"))
+    out = out.filter((F.col("_gone") == 0) | F.col(names["text"]).rlike(r"[^\x20\x09-\x0D]"))
+    return out.select(*[F.col(x).alias(c) for c, x in names.items()], F.col("_lines").alias("n_lines"), F.col("_gone").alias("n_removed"))

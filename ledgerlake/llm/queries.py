@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ._spark import table
+from .langid import label_languages
 from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
 from .packing import pack
+from .sampling import resample
+from .tiff import store_texts
+from .url_filter import judge
 
 
 def vocabulary(name: str) -> str:
@@ -24,13 +28,33 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label_languages(table(spark, sf_dir, "documents"))
+
+
+RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"), RULES)
+
+
+def op4_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store_texts(table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
+    return resample(table(spark, sf_dir, "documents"), labels)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document that keeps a line with words, or has had none."""
     kept = dedup_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_best_fit_packing, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_best_fit_packing, op4_media_tiff, op6_language_id, op7_url_filter, op9_quality, op10_line_dedup)}
 SQL: dict[str, str] = {
     "op10_line_dedup": r"""WITH t AS (SELECT doc_id, pos - 1 AS line_no, line, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL)),
 l AS (SELECT * FROM t WHERE len(w) > 0),
