@@ -8,7 +8,10 @@ from ._spark import table
 from .langid import label_languages
 from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
+from .neighbours import nearest
 from .packing import pack
+from .passages import repeats
+from .pieces import encode_texts
 from .sampling import resample
 from .tiff import store_texts
 from .url_filter import judge
@@ -48,13 +51,25 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), labels)
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document that keeps a line with words, or has had none."""
     kept = dedup_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_best_fit_packing, op4_media_tiff, op6_language_id, op7_url_filter, op9_quality, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_best_fit_packing, op3_sentencepiece, op4_media_tiff, op5_nearest, op6_language_id, op7_url_filter, op8_substring_dedup, op9_quality, op10_line_dedup)}
 SQL: dict[str, str] = {
     "op10_line_dedup": r"""WITH t AS (SELECT doc_id, pos - 1 AS line_no, line, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL)),
 l AS (SELECT * FROM t WHERE len(w) > 0),
