@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ._spark import settle
 
-BLOCK, QUERIES, LINES, MEET, SHARE, GROW, START = 16_384, 2_048, 32, 14, 0.12, 1.35, 0.25
+BLOCK, QUERIES, LINES, MEET, SHARE, GROW, START, LEVELS = 16_384, 2_048, 64, 32, 0.35, 1.1, 0.02, 80
 
 
 class Block:
@@ -44,18 +44,21 @@ class Block:
         """Rows that share at least MEET windows with ``q`` at the radius where enough do."""
         n = len(self.x)
         centre = (q * (self.norm / np.linalg.norm(q))) @ self.lines[:-1]
-        low = high = np.array([np.searchsorted(s, c) for s, c in zip(self.sorted, centre)])
-        enough, radius, met = max(40, ceil(SHARE * n)), START * self.norm, np.zeros(n, np.int64)
+        reach = START * self.norm * GROW ** np.arange(LEVELS)
+        reach[-1] = np.inf
+        low = np.array([s.searchsorted(c - reach) for s, c in zip(self.sorted, centre)])  # ends of each line's window at each level
+        high = np.array([s.searchsorted(c + reach, "right") for s, c in zip(self.sorted, centre)])
+        enough, met = min(n, max(40, ceil(SHARE * n))), np.zeros(n, np.int64)
+        level = int(((high - low).mean(0) * LINES < MEET * enough).sum())  # before it, windows are too small to hold enough
+        level = min(level, LEVELS - 1)
+        new = [o[i:j] for o, i, j in zip(self.order, low[:, level], high[:, level])]
         while True:
-            a = np.array([np.searchsorted(s, c - radius) for s, c in zip(self.sorted, centre)])
-            b = np.array([np.searchsorted(s, c + radius, "right") for s, c in zip(self.sorted, centre)])
-            new = [o[i:j] for o, *ends in zip(self.order, a, low, high, b) for i, j in (ends[:2], ends[2:])]
             met += np.bincount(np.concatenate(new), minlength=n)
-            low, high = a, b
             found = np.flatnonzero(met >= MEET)
-            if len(found) >= min(enough, n) or (b - a == n).all():
+            if len(found) >= enough or level == LEVELS - 1:
                 return found
-            radius *= GROW
+            level += 1
+            new = [o[i:j] for o, a, b in zip(self.order, zip(low[:, level], low[:, level - 1]), zip(high[:, level - 1], high[:, level])) for i, j in (a, b)]
 
     def best(self, key: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         found = self.candidates(q)

@@ -69,7 +69,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_best_fit_packing, op3_sentencepiece, op4_media_tiff, op5_nearest, op6_language_id, op7_url_filter, op8_substring_dedup, op9_quality, op10_line_dedup)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_best_fit_packing, op3_sentencepiece, op4_media_tiff, op5_nearest, op6_language_id, op7_url_filter, op8_substring_dedup, op9_quality, op10_line_dedup, pipeline)}
 SQL: dict[str, str] = {
     "op10_line_dedup": r"""WITH t AS (SELECT doc_id, pos - 1 AS line_no, line, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL)),
 l AS (SELECT * FROM t WHERE len(w) > 0),
