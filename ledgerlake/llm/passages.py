@@ -101,10 +101,24 @@ def same(a: bytes, b: bytes, least: int, num: int, den: int) -> list[tuple[int,
     if min(len(x.hash), len(y.hash)) < least:
         return []
     p, q = shingles(x, SHINGLE)[0], shingles(y, SHINGLE)[0]
-    order = np.argsort(q, kind="stable")
-    where = np.minimum(np.searchsorted(q[order], p), len(q) - 1)
-    hit = q[order][where] == p
-    at = order[where]
+    known, code, times = np.unique(q, return_inverse=True, return_counts=True)
+    of = np.minimum(np.searchsorted(known, p), len(known) - 1)
+    hit = known[of] == p
+    if not hit.any():
+        return []
+    size = len(q) + 1
+    spots = np.sort(code * size + np.arange(len(q)))  # by shingle, then place
+    place = lambda want: spots[np.minimum(np.searchsorted(spots, of * size + want), len(spots) - 1)]
+    at = place(0) - of * size
+    # A shingle of several places goes to the one nearest to where the last certain one points.
+    sure = np.flatnonzero(hit & (times[of] == 1))
+    if len(sure):
+        guide = sure[np.maximum(np.searchsorted(sure, np.arange(len(p)), "right") - 1, 0)]
+        want = np.clip(np.arange(len(p)) + (at - np.arange(len(p)))[guide], 0, len(q) - 1)
+        after = np.searchsorted(spots, of * size + want)
+        options = np.stack([spots[np.clip(after + k, 0, len(spots) - 1)] - of * size for k in (-1, 0)])
+        options = np.where((options >= 0) & (options < len(q)), options, 4 * size)
+        at = np.where(hit, np.take_along_axis(options, np.abs(options - want).argmin(0)[None], 0)[0], at)
     out, todo = [], [np.flatnonzero(hit)]
     while todo:
         run = todo.pop()
