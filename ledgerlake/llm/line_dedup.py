@@ -26,12 +26,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ._spark import settle
 
-LONG = 512
+LONG = 2048
 LAST = 2**63 - 1
 
 
 def words(line: Column) -> Column:
-    return F.array_remove(F.split(F.translate(line, "\t\n\x0b\x0c\r", "     "), " "), "")
+    odd = F.lit(False)
+    for c in "\t\x0b\x0c\r":
+        odd = odd | line.contains(c)
+    return F.array_remove(F.split(F.when(odd, F.translate(line, "\t\x0b\x0c\r", "    ")).otherwise(line), " "), "")
 
 
 def bind(value: Column, f) -> Column:
@@ -79,7 +82,7 @@ def removed_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
     distinct = settle(occurrences.groupBy("h1", "h2").agg(F.min(order).alias("o"), F.max(order).alias("x"), *[F.max(k).alias(k) for k in KEYS]))
     halves = distinct.select("o", "h1", F.explode(F.array(*KEYS)).alias("key")).filter("key is not null")
     shared = halves.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("key")
-    wanted = halves.select("o", "key").join(shared, "key").groupBy("o.d").agg(F.collect_set("o.line_no").alias("at"))
+    wanted = settle(halves.select("o", "key").join(shared, "key").groupBy("o.d").agg(F.collect_set("o.line_no").alias("at")))
     lines = docs.select(d, "text").filter("text is not null").join(wanted, "d").select("d", F.explode("at").alias("line_no"), F.split("text", "\n").alias("lines"))
     lines = lines.filter(F.col("line_no") < F.size("lines")).select(order.alias("o"), F.element_at("lines", F.col("line_no") + 1).alias("line"))
     lines = lines.select("o", F.xxhash64("line").alias("h1"), words(F.col("line")).alias("w")).withColumn("n", F.size("w")).filter(F.col("n") >= min_words)
@@ -103,9 +106,10 @@ def dedup_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
     drop = removed_lines(docs, min_words).groupBy("d").agg(F.collect_set(F.struct("line_no", "h1")).alias("_drop"))
     row = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"))
     out = row.join(drop, "d", "left").withColumn("_lines", F.split("_row.text", "\n"))
-    left = F.array_except(F.transform("_lines", lambda x, i: F.struct(i.alias("line_no"), F.xxhash64(x).alias("h1"))), "_drop")
-    out = out.withColumn("_left", F.when(F.col("_drop").isNotNull(), left))
-    text = F.when(F.col("_left").isNull(), F.col("_row.text")).otherwise(F.array_join(F.transform("_left", lambda x: F.element_at("_lines", x["line_no"] + 1)), "\n"))
+    real = F.transform(F.filter("_drop", lambda x: F.xxhash64(F.element_at("_lines", x["line_no"] + 1)) == x["h1"]), lambda x: x["line_no"])
+    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), real)
+    out = out.withColumn("_drop", F.filter("_drop", lambda x: x["line_no"] < F.size("_lines"))).withColumn("_left", F.when(F.col("_drop").isNotNull(), left))
+    text = F.when(F.col("_left").isNull(), F.col("_row.text")).otherwise(F.array_join(F.transform("_left", lambda i: F.element_at("_lines", i + 1)), "\n"))
     n = F.coalesce(F.size("_lines"), F.lit(0)).cast("long")
     removed = F.when(F.col("_left").isNull(), F.lit(0)).otherwise(F.size("_lines") - F.size("_left")).cast("long")
     names = {c: f"_{i}" for i, c in enumerate(docs.columns)}
