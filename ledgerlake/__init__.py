@@ -1,0 +1,3 @@
+"""Experiment-log analytics on Spark: run logs, tidy metrics, blobs, publications, record streams."""
+
+__version__ = "0.1.0"
