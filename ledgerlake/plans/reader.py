@@ -129,7 +129,7 @@ def runs_frame(spark: SparkSession, root: str | Path, runs: list[RunInfo], statu
     return out
 
 
-def metrics_frame(spark: SparkSession, root: str | Path, runs: list[RunInfo], coords: dict[str, str], guard: bool = True) -> DataFrame:
+def metrics_frame(spark: SparkSession, root: str | Path, runs: list[RunInfo], coords: dict[str, str], guard: bool = True, latest: bool = True) -> DataFrame:
     """The tidy frame: metric records, guarded, of the highest attempt for each key, with each run's configuration.
 
     Only the listed runs' files are read, under a pinned schema. The window over attempts is left out
@@ -144,7 +144,7 @@ def metrics_frame(spark: SparkSession, root: str | Path, runs: list[RunInfo], co
     else:
         facts = with_origin(spark.read.schema(shape).json(paths).filter("kind = 'metric'")).select(*columns)
     key = [*KEY, *coords]
-    resumed = any(len(r.paths) > 1 for r in runs)
+    resumed = latest and any(len(r.paths) > 1 for r in runs)
     if guard or resumed:
         facts = facts.repartition("run", *key) if resumed else facts
     if guard:
@@ -173,7 +173,7 @@ def load(spark: SparkSession, root: str | Path, *, names: list[str] | None = Non
     for c in coords or []:
         frame = frame.filter(F.col(c).isNotNull())
     if validate and runs:
-        raw = metrics_frame(spark, root, [RunInfo(r.rid, (p,)) for r in runs for p in r.paths], found, guard=False)
+        raw = metrics_frame(spark, root, runs, found, guard=False, latest=False)
         check_duplicates(raw if names is None else raw.filter(F.col("name").isin(*names)), [*KEY, *found])
     return frame
 

@@ -208,7 +208,7 @@ class StreamWriter:
         if at is None:
             raise StorageError(f"no checkpoint {identity!r}")
         if self.final:
-            return self.spark.read.parquet(str(self.stream.root)).drop("shard")
+            return self.spark.read.parquet(f"{self.stream.root}/shard-*.parquet")
         if not at.segments:
             return self.spark.createDataFrame([], T.StructType([*self.stream.schema.fields, T.StructField(ROW, T.LongType())]))
         return self.spark.read.parquet(*[str(self.stream.pending / s) for s in at.segments])
