@@ -102,7 +102,7 @@ def removed_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
-    """``docs`` with repeated lines removed from ``text``, and columns n_lines and n_removed after the others."""
+    """``docs`` with repeated lines removed from ``text``, and columns n_lines and n_removed after the others (in place of such columns)."""
     drop = removed_lines(docs, min_words).groupBy("d").agg(F.collect_set(F.struct("line_no", "h1")).alias("_drop"))
     row = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"))
     out = row.join(drop, "d", "left").withColumn("_lines", F.split("_row.text", "\n"))
@@ -112,7 +112,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
     text = F.when(F.col("_left").isNull(), F.col("_row.text")).otherwise(F.array_join(F.transform("_left", lambda i: F.element_at("_lines", i + 1)), "\n"))
     n = F.coalesce(F.size("_lines"), F.lit(0)).cast("long")
     removed = F.when(F.col("_left").isNull(), F.lit(0)).otherwise(F.size("_lines") - F.size("_left")).cast("long")
-    names = {c: f"_{i}" for i, c in enumerate(docs.columns)}
+    names = {c: f"_{i}" for i, c in enumerate(docs.columns) if c not in ("n_lines", "n_removed")}
     out = out.select(*[text.alias(x) if c == "text" else F.col(f"_row.`{c}`").alias(x) for c, x in names.items()], n.alias("_lines"), removed.alias("_gone"))
     out = out.filter((F.col("_gone") == 0) | F.col(names["text"]).rlike(r"[^\x20\x09-\x0D]"))
     return out.select(*[F.col(x).alias(c) for c, x in names.items()], F.col("_lines").alias("n_lines"), F.col("_gone").alias("n_removed"))

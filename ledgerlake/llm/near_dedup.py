@@ -5,10 +5,10 @@ pair is dropped as soon as the posterior probability that its similarity reaches
 under ``miss``. What survives is confirmed on the full shingle sets.
 
 Shape of the work: texts with equal sets form a class, and only one row of a class goes on, so copies
-never meet as pairs. Inside a bucket pairs are drawn to one representative; after components of those
-links, only members of *different* components that still share a bucket are compared (first with one
-member of the bucket's main component for each band, then with all of the others), so a bucket of like
-texts costs its size and yet no candidate pair that could join two components is left out.
+never meet as pairs. Inside a bucket pairs are drawn to one representative; while a bucket mixes components, each member outside its
+main component meets one drawn member of it for every band, anew in up to ``TURNS`` turns. So a bucket costs its
+size and not its square. What this leaves out: two components stay apart if the only similar pairs between
+them are never drawn (see the README).
 
 Defined cases: a null text or one without words has an empty set (``n_shingles`` 0) and is linked with
 nothing; rows with equal ``doc_id`` count as one document with several texts; a row with null
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from ._spark import connected, settle
 from ._words import U, Words, chunks, mix, shingles, utf8
 
-ROWS, STEP, SEED = 5, 20, 0x51ED270B
+ROWS, STEP, SEED, TURNS = 5, 20, 0x51ED270B, 3
 
 
 def bands_for(similarity: float, rows: int = ROWS, miss: float = 1e-5) -> int:
@@ -164,24 +164,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     of = known.join(classes.select("n_shingles", "s1", "s2", "u"), ["n_shingles", "s1", "s2"])
     links = links.union(of.join(twice, "doc_id").select(F.col("doc_id").alias("u"), F.col("u").alias("v")))
     tried = first
-    for last in (False, True):
+    for turn in range(TURNS):
         labels = settle(connected(links))
         now = members.select("key", "u").join(labels.withColumnRenamed("node", "u"), "u", "left").withColumn("c", F.coalesce("component", "u"))
         mixed = now.groupBy("key").agg(F.min("c").alias("p"), F.max("c").alias("q")).filter("p < q").select("key")
         now = settle(now.select("key", "u", "c").join(mixed, "key"))
-        if now.isEmpty():
-            break
-        sizes = now.groupBy("key", "c").agg(F.count("*").alias("n"), F.max_by("u", F.xxhash64("u", "key")).alias("one"))
+        sizes = now.groupBy("key", "c").agg(F.count("*").alias("n"), F.max_by("u", F.xxhash64("u", "key", F.lit(turn))).alias("one"))
         main = sizes.groupBy("key").agg(F.max(F.struct("n", F.col("c").alias("main"), "one")).alias("x")).select("key", "x.main", "x.one")
-        minor = now.join(main, "key").filter("c <> main")
-        if last:
-            other = now.select("key", F.col("u").alias("w"), F.col("c").alias("d"))
-            pairs = minor.join(other, "key").filter("c <> d and (d = main or u < w)").select(F.greatest("u", "w").alias("u"), F.least("u", "w").alias("v"))
-        else:
-            pairs = minor.select(F.greatest("u", "one").alias("u"), F.least("u", "one").alias("v"))
-        pairs = settle(pairs.distinct().join(tried, ["u", "v"], "left_anti"))
+        minor = now.join(main, "key").filter("c <> main").select(F.greatest("u", "one").alias("u"), F.least("u", "one").alias("v"))
+        pairs = settle(minor.distinct().join(tried, ["u", "v"], "left_anti"))
+        new = linked(pairs)
+        if new.isEmpty():
+            break
         tried = tried.union(pairs)
-        links = settle(links.union(linked(pairs)))
+        links = settle(links.union(new))
     else:
         labels = settle(connected(links))
     member = known.select("doc_id", "n_shingles", "s1", "s2").join(classes.select("n_shingles", "s1", "s2", "u"), ["n_shingles", "s1", "s2"])
