@@ -70,7 +70,7 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, see
     ``labels(doc_id, good)``. ``share`` of the non-empty documents stay; by default the labels' share of good ones.
     """
     spark = docs.sparkSession
-    good = labels.filter("doc_id is not null and good is not null").groupBy("doc_id").agg(F.min(F.col("good").cast("int")).alias("target"))
+    good = labels.filter("doc_id is not null and good is not null").groupBy("doc_id").agg(F.min(F.col("good").cast("int")).alias("target")).hint("merge")  # the same plan at every size
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(good, "doc_id", "left").select("text", F.coalesce("target", F.lit(0)).alias("target"))
     found = rows.mapInArrow(count, "target int, cell int, n long").groupBy("target", "cell").agg(F.sum("n").alias("n")).toArrow()  # 2 * BUCKETS rows at most
     n = np.zeros((2, BUCKETS))
