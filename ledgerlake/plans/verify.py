@@ -130,7 +130,7 @@ def blob_problems(spark: SparkSession, root: str | Path, rehash: bool) -> list[D
 
 def problems(spark: SparkSession, root: str | Path, *, rehash: bool = False) -> DataFrame:
     """level, run, message of all broken invariants, in order of run."""
-    rows = lines(spark, root)
+    rows = lines(spark, root).persist()  # one parse for all checks
     parts = [identities(spark, root), gaps(spark, root), *record_problems(spark, root, rows), *blob_problems(spark, root, rehash)]
     out = parts[0]
     for p in parts[1:]:

@@ -43,7 +43,8 @@ class Tails(DataSource):
 
 class LineReader(TailReader):
     def partitions(self):
-        return [Paths([p]) for p in self.paths] or [Paths([])]
+        step = max(1, min(FILES_PER_TASK, len(self.paths) // 16))
+        return [Paths(self.paths[i : i + step]) for i in range(0, len(self.paths), step)] or [Paths([])]
 
     def read(self, partition):
         for path in partition.paths:
