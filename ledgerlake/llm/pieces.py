@@ -13,6 +13,7 @@ a space; null doc_ids pass through; equal rows get equal rows; extra columns are
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 
@@ -62,9 +63,14 @@ def hashes(code: np.ndarray) -> np.ndarray:
     return out
 
 
-def substring(total: np.ndarray, s: int, e: int) -> np.ndarray:
-    _, q = powers(total.shape[1])
-    return mix((total[:, e] - total[:, s]) * q[s] + U((e - s) * 0x8CB92BA72F3D8DD7 & 0xFFFFFFFFFFFFFFFF))
+def spans(total: np.ndarray, s: int, e: int) -> np.ndarray:
+    """Hash of characters s to e of every row; ``total`` has a row for each place."""
+    _, q = powers(len(total))
+    return (total[e] - total[s]) * q[s]
+
+
+def keyed(h: np.ndarray, size: int) -> np.ndarray:
+    return mix(h + U(size * 0x8CB92BA72F3D8DD7 & 0xFFFFFFFFFFFFFFFF))
 
 
 class Model:
@@ -87,79 +93,117 @@ class Model:
         self.unknown = self.scores[usable].min() - PENALTY
         self.bytes = {int(self.pieces[k][3:5], 16): k for k, kind in enumerate(self.kinds) if kind == BYTE}
         self.raw = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else p.replace(SPACE, " ").encode() for p, kind in zip(self.pieces, self.kinds)]
+        self.widths = np.array([len(p) for p in self.pieces])
         self.longest = max(len(self.pieces[k]) for k in usable)
         self.characters = {self.pieces[k] for k in usable if len(self.pieces[k]) == 1}
         lengths: dict[int, list[int]] = {}
         for k in usable:
             lengths.setdefault(len(self.pieces[k]), []).append(k)
-        keys, ids = [], []
+        keys, ids, self.seen = [], [], np.zeros(1 << 20, bool)
         for n, group in lengths.items():
             code = np.frombuffer("".join(self.pieces[k] for k in group).encode("utf-32-le"), np.uint32).reshape(-1, n)
-            keys.append(substring(hashes(code), 0, n))
+            h = spans(np.ascontiguousarray(hashes(code).T), 0, n)
+            self.seen[h >> U(44)] = True
+            keys.append(keyed(h, n))
             ids += group
         keys = np.concatenate(keys)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(ids)[order]
-        self.memory: dict[str, np.ndarray] = {}
-
-    def viterbi(self, words: list[str]) -> list[list[int]]:
-        """Ids of words of one length: all advance together."""
-        size = len(words[0])
-        code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), size)
-        total = hashes(code)
-        best = np.full((len(words), size + 1), -np.inf, np.float32)
-        best[:, 0] = 0
-        back, piece = (np.zeros((len(words), size + 1), np.int32) for _ in range(2))
+        self.forget()
+
+    def forget(self) -> None:
+        """Segmented words: their numbers, and by number where their ids begin and end in ``flat``."""
+        self.memory: dict[str, int] = {}
+        self.begin, self.end = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.flat, self.full = np.zeros(1, np.int32), 0
+
+    def viterbi(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of one length, one after the other, and how many each has: all advance together.
+
+        Most substrings are no piece; a bit for the top of each hash says so before the keys are searched.
+        """
+        size, many = len(words[0]), len(words)
+        code = np.frombuffer("".join(words).replace(" ", SPACE).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(many, size)
+        total = np.ascontiguousarray(hashes(code).T)
+        best = np.full((size + 1, many), -np.inf, np.float32)
+        best[0] = 0
+        back, piece = (np.zeros((size + 1, many), np.int32) for _ in range(2))
         for e in range(1, size + 1):
             for s in range(max(0, e - self.longest), e):
-                key = substring(total, s, e)
+                h = spans(total, s, e)
+                row = np.flatnonzero(self.seen[h >> U(44)])
+                key = keyed(h[row], e - s)
                 at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
                 hit = self.keys[at] == key
+                row, which = row[hit], self.ids[at[hit]]
+                score = best[s, row] + self.scores[which]
                 if s == e - 1:
-                    score, which = np.where(hit, self.scores[self.ids[at]], self.unknown), np.where(hit, self.ids[at], -1)
-                else:
-                    score, which = np.where(hit, self.scores[self.ids[at]], np.float32(-np.inf)), self.ids[at]
-                score = best[:, s] + score
-                better = score > best[:, e]
-                best[better, e], back[better, e], piece[better, e] = score[better], s, which[better]
-        out = []
-        for w, b, p in zip(words, back.tolist(), piece.tolist()):
-            ids, e = [], size
-            while e:
-                ids += [p[e]] if p[e] >= 0 else [self.bytes[x] for x in reversed(w[b[e] : e].encode("utf-8", "replace"))]
-                e = b[e]
-            out.append(ids[::-1])
-        return out
+                    known = np.zeros(many, bool)
+                    known[row] = True
+                    odd = np.flatnonzero(~known)
+                    row, which = np.concatenate([row, odd]), np.concatenate([which, np.full(len(odd), -1)])
+                    score = np.concatenate([score, best[s, odd] + self.unknown])
+                better = score > best[e, row]
+                row = row[better]
+                best[e, row], back[e, row], piece[e, row] = score[better], s, which[better]
+        ends, found, rows = np.full(many, size), [], []
+        live = np.arange(many)
+        while len(live):
+            found.append(piece[ends, live])
+            rows.append(live)
+            ends = back[ends, live]
+            live, ends = live[ends > 0], ends[ends > 0]
+        found, rows, turn = np.concatenate(found), np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        order = np.lexsort((-turn, rows))
+        found, counts = found[order], np.bincount(rows, minlength=many)
+        odd = np.flatnonzero(found < 0)
+        if len(odd):  # unknown characters become their bytes
+            rows = rows[order]
+            width = np.where(found < 0, 1, self.widths[found])
+            start = np.cumsum(width) - width - rows * size
+            raw = [[self.bytes[x] for x in chr(c).encode("utf-8", "replace")] for c in code[rows[odd], start[odd]].tolist()]
+            times = np.ones(len(found), np.int64)
+            times[odd] = [len(r) for r in raw]
+            counts = np.bincount(rows, times, many).astype(np.int64)
+            unknown = np.repeat(found < 0, times)
+            found = np.repeat(found, times)
+            found[unknown] = [k for r in raw for k in r]
+        return found, counts
+
+    def learn(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        first = len(self.memory)
+        self.memory.update(zip(words, range(first, first + len(words))))
+        room = lambda x, n: x if n <= len(x) else np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)])
+        self.begin, self.end, self.flat = room(self.begin, len(self.memory)), room(self.end, len(self.memory)), room(self.flat, self.full + len(ids))
+        self.end[first : len(self.memory)] = self.full + np.cumsum(counts)
+        self.begin[first : len(self.memory)] = self.end[first : len(self.memory)] - counts
+        self.flat[self.full : self.full + len(ids)] = ids
+        self.full += len(ids)
 
     def encode(self, texts: list[str], room: int = 1_000_000) -> list[np.ndarray]:
         cuts = [self.cut(t) for t in texts]
-        new: dict[int, list[str]] = {}
         if len(self.memory) > room:
-            self.memory.clear()
-        for w in {w for c in cuts for w in c}:
-            if w not in self.memory:
-                new.setdefault(len(w), []).append(w)
-        for size, words in new.items():
-            step = max(1, 4_000_000 // (size + 1))
-            for i in range(0, len(words), step):
-                for w, ids in zip(words[i : i + step], self.viterbi(words[i : i + step])):
-                    self.memory[w] = np.array(ids, np.int32)
-        none = np.zeros(0, np.int32)
-        return [np.concatenate([self.memory[w] for w in c]) if c else none for c in cuts]
+            self.forget()
+        words = [w for c in cuts for w in c]
+        new: dict[int, list[str]] = {}
+        for w in set(words).difference(self.memory):
+            new.setdefault(len(w), []).append(w)
+        for size, group in new.items():
+            step = max(1, min(20_000, 4_000_000 // (size + 1)))
+            for i in range(0, len(group), step):
+                part = group[i : i + step]
+                self.learn(part, *self.viterbi(part))
+        number = np.fromiter(map(self.memory.__getitem__, words), np.int64, len(words))
+        begin, counts = self.begin[number], (self.end - self.begin)[number]
+        at = np.concatenate([[0], np.cumsum(counts)])
+        ids = self.flat[np.arange(at[-1]) + np.repeat(begin - at[:-1], counts)]
+        ends = at[np.cumsum([len(c) for c in cuts], dtype=np.int64)]
+        return np.split(ids, ends[:-1]) if texts else []
 
     @staticmethod
     def cut(text: str) -> list[str]:
         """Runs of spaces each with what follows; a space comes before the text."""
-        if not text:
-            return []
-        out, spaces = [], 0
-        for part in text.replace(SPACE, " ").split(" "):
-            if part:
-                out.append(SPACE * (spaces + 1) + part)
-                spaces = 0
-            else:
-                spaces += 1
-        return out + [SPACE * spaces] * (spaces > 0)
+        return re.findall(" +[^ ]*", " " + text.replace(SPACE, " ")) if text else []
 
     def decode(self, ids) -> str:
         return b"".join([self.raw[k] for k in ids]).decode("utf-8", "replace")[1:]
@@ -179,7 +223,7 @@ def encode_texts(docs: DataFrame, path: str, with_ids: bool = False) -> DataFram
         m = model(path)
         for b in batches:
             _, at = utf8(b.column(1))
-            for i, j in chunks(at):
+            for i, j in chunks(at, 1 << 23):
                 texts = [t or "" for t in b.column(1).slice(i, j - i).to_pylist()]
                 ids = m.encode(texts)
                 back = [m.decode(x.tolist()) for x in ids]
