@@ -117,7 +117,12 @@ class Model:
         self.begin, self.end = np.zeros(1, np.int64), np.zeros(1, np.int64)
         self.flat, self.full = np.zeros(1, np.int32), 0
 
-    def viterbi(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def viterbi(self, words: list[str]) -> list[list[int]]:
+        """Ids of words of one length, a list for each."""
+        ids, counts = self.segment(words)
+        return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+
+    def segment(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words of one length, one after the other, and how many each has: all advance together.
 
         Most substrings are no piece; a bit for the top of each hash says so before the keys are searched.
@@ -192,7 +197,7 @@ class Model:
             step = max(1, min(20_000, 4_000_000 // (size + 1)))
             for i in range(0, len(group), step):
                 part = group[i : i + step]
-                self.learn(part, *self.viterbi(part))
+                self.learn(part, *self.segment(part))
         number = np.fromiter(map(self.memory.__getitem__, words), np.int64, len(words))
         begin, counts = self.begin[number], (self.end - self.begin)[number]
         at = np.concatenate([[0], np.cumsum(counts)])
