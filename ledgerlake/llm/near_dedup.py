@@ -5,10 +5,11 @@ pair is dropped as soon as the posterior probability that its similarity reaches
 under ``miss``. What survives is confirmed on the full shingle sets.
 
 Shape of the work: texts with equal sets form a class, and only one row of a class goes on, so copies
-never meet as pairs. Inside a bucket pairs are drawn to one representative; while a bucket mixes components, each member outside its
-main component meets one drawn member of it for every band, anew in up to ``TURNS`` turns. So a bucket costs its
-size and not its square. What this leaves out: two components stay apart if the only similar pairs between
-them are never drawn (see the README).
+never meet as pairs. Inside a bucket pairs are drawn to one representative. While a bucket mixes components, in up to
+``TURNS`` turns each member outside its main component meets one drawn member of it and, compared in blocks of ``BLOCK`` rows, those
+members of all other components whose signatures agree best. So pairs made grow with a bucket's size; comparisons grow with
+its size times its members outside the main component, inside tasks of bounded size. What this leaves out: two components stay apart
+if their similar pairs never are among the best agreeing ones (see the README).
 
 Defined cases: a null text or one without words has an empty set (``n_shingles`` 0) and is linked with
 nothing; rows with equal ``doc_id`` count as one document with several texts; a row with null
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from ._spark import connected, settle
 from ._words import U, Words, chunks, mix, shingles, utf8
 
-ROWS, STEP, SEED, TURNS = 5, 20, 0x51ED270B, 3
+ROWS, STEP, SEED, TURNS, BLOCK, BEST = 5, 20, 0x51ED270B, 3, 1024, 4
 
 
 def bands_for(similarity: float, rows: int = ROWS, miss: float = 1e-5) -> int:
@@ -104,6 +105,31 @@ def pruner(least: dict[int, int]):
     return prune
 
 
+def closest(least: dict[int, int], num: int, den: int, best: int):
+    """Arrow group (u, c, n_shingles, sig, asks) to (u, v): for each asking row the ``best`` surviving rows of other components."""
+
+    def work(t: pa.Table) -> pa.Table:
+        asks = t["asks"].to_numpy()
+        u, c, n = (t[k].to_numpy() for k in ("u", "c", "n_shingles"))
+        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint32).reshape(len(u), -1)
+        q, d = np.flatnonzero(asks), np.flatnonzero(~asks)
+        few, many = np.minimum(n[q][:, None], n[d]), np.maximum(n[q][:, None], n[d])
+        live = (c[q][:, None] != c[d]) & (den * few >= num * many)
+        found, done = np.zeros(live.shape, np.int16), 0
+        for stop, fewest in least.items():
+            for k in range(done, stop):
+                found += sig[q, k][:, None] == sig[d, k]
+            live &= found >= fewest
+            done = stop
+        found[~live] = -1
+        top = np.argsort(-found, 1, kind="stable")[:, :best]
+        row, col = np.nonzero(np.take_along_axis(found, top, 1) >= 0)
+        x, y = u[q][row], u[d][top[row, col]]
+        return pa.table({"u": np.maximum(x, y), "v": np.minimum(x, y)})
+
+    return work
+
+
 def confirmer(size: int, num: int, den: int):
     """Arrow batches (u, v, left texts, right texts) to the (u, v) with a pair of sets at the threshold."""
 
@@ -149,8 +175,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     texts = docs.filter("doc_id is not null")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        sigs = classes.select(F.col("u").alias("id"), "sig")
-        x = pairs.join(sigs.select(F.col("id").alias("u"), F.col("sig").alias("a")), "u").join(sigs.select(F.col("id").alias("v"), F.col("sig").alias("b")), "v")
+        x = pairs.join(classes.select("u", F.col("sig").alias("a"), F.col("n_shingles").alias("n")), "u")
+        x = x.join(classes.select(F.col("u").alias("v"), F.col("sig").alias("b"), F.col("n_shingles").alias("m")), "v")
+        x = x.filter(den * F.least("n", "m") >= num * F.greatest("n", "m"))
         alive = settle(x.select("u", "v", "a", "b").mapInArrow(pruner(least), "u long, v long").distinct())
         asked = alive.select("u", "v", F.explode(F.array(F.struct(F.col("u").alias("id"), F.lit(0).alias("side")), F.struct(F.col("v").alias("id"), F.lit(1).alias("side")))).alias("w")).select("u", "v", "w.*")
         side = lambda k: F.collect_set(F.when(F.col("side") == k, F.col("text").cast("binary")))
@@ -170,9 +197,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
         mixed = now.groupBy("key").agg(F.min("c").alias("p"), F.max("c").alias("q")).filter("p < q").select("key")
         now = settle(now.select("key", "u", "c").join(mixed, "key"))
         sizes = now.groupBy("key", "c").agg(F.count("*").alias("n"), F.max_by("u", F.xxhash64("u", "key", F.lit(turn))).alias("one"))
-        main = sizes.groupBy("key").agg(F.max(F.struct("n", F.col("c").alias("main"), "one")).alias("x")).select("key", "x.main", "x.one")
-        minor = now.join(main, "key").filter("c <> main").select(F.greatest("u", "one").alias("u"), F.least("u", "one").alias("v"))
-        pairs = settle(minor.distinct().join(tried, ["u", "v"], "left_anti"))
+        main = sizes.groupBy("key").agg(F.max(F.struct("n", F.col("c").alias("main"), "one")).alias("x"), F.sum("n").alias("total")).select("key", "x.main", "x.one", "x.n", "total")
+        now = now.join(main, "key")
+        minor = now.filter("c <> main").select(F.greatest("u", "one").alias("u"), F.least("u", "one").alias("v"))
+        now = now.filter("total > 2").join(classes.select("u", "n_shingles", "sig"), "u")
+        deal, wide = F.xxhash64("u"), F.ceil(F.col("total") / BLOCK)
+        askers = F.ceil((F.col("total") - F.col("n")) / BLOCK)  # blocks of members outside the main component
+        each = lambda x: F.explode(F.sequence(F.lit(0).cast("long"), x - 1))
+        row = ["key", "u", "c", "n_shingles", "sig"]
+        asking = now.filter("c <> main").select(*row, F.lit(True).alias("asks"), F.pmod(deal, askers).alias("i"), each(wide).alias("j"))
+        asked = now.select(*row, F.lit(False).alias("asks"), each(askers).alias("i"), F.pmod(deal, wide).alias("j"))
+        near = asking.union(asked).groupBy("key", "i", "j").applyInArrow(closest(least, num, den, BEST * (turn + 1)), "u long, v long")
+        pairs = settle(minor.union(near).distinct().join(tried, ["u", "v"], "left_anti"))
         new = linked(pairs)
         if new.isEmpty():
             break
