@@ -27,19 +27,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ._spark import settle
 
 LONG = 2048
+SPACES = " \t\x0b\x0c\r"
 LAST = 2**63 - 1
 
 
 def words(line: Column) -> Column:
     odd = F.lit(False)
-    for c in "\t\x0b\x0c\r":
+    for c in SPACES[1:]:
         odd = odd | line.contains(c)
-    return F.array_remove(F.split(F.when(odd, F.translate(line, "\t\x0b\x0c\r", "    ")).otherwise(line), " "), "")
-
-
-def bind(value: Column, f) -> Column:
-    """``f(value)`` with ``value`` evaluated once."""
-    return F.element_at(F.transform(F.array(value), f), 1)
+    return F.array_remove(F.split(F.when(odd, F.translate(line, SPACES[1:], "    ")).otherwise(line), " "), "")
 
 
 def half_keys(w: Column, n: Column, least: int) -> Column:
@@ -55,10 +51,9 @@ def half_keys(w: Column, n: Column, least: int) -> Column:
 
 def variants(lines: DataFrame) -> DataFrame:
     """Rows (v, i, o) of ``lines(o, w, n)``: hash of the line (i = 0) and of the line without word i."""
-    short = lines.filter(F.col("n") <= LONG).select(
-        "o",
-        F.posexplode(F.transform(F.sequence(F.lit(0), F.col("n")), lambda i: F.when(i == 0, F.xxhash64("w")).otherwise(F.xxhash64(F.slice("w", F.lit(1), F.greatest(i - 1, F.lit(0))), F.slice("w", i + 1, F.col("n")))))).alias("i", "v"),
-    )
+    i = F.col("i")
+    short = lines.filter(F.col("n") <= LONG).select("o", "w", "n", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("i"))
+    short = short.select("o", "i", F.when(i == 0, F.xxhash64("w")).otherwise(F.xxhash64(F.slice("w", F.lit(1), F.greatest(i - 1, F.lit(0))), F.slice("w", i + 1, F.col("n")))).alias("v"))
     g = lambda salt, j: F.pmod(F.xxhash64(F.lit(salt), F.col("x"), j), F.lit(1 << 40))
     each = lines.filter(F.col("n") >= LONG).select("o", F.posexplode("w").alias("p", "x")).withColumn("p", F.col("p") + 1)
     line = Window.partitionBy("o").orderBy("p")
@@ -75,9 +70,10 @@ def removed_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
     """Lines of ``docs(doc_id, text)`` that go: d (doc_id, ``LAST`` for null), line_no (from 0), h1 (hash of the line)."""
     d = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d")
     text = docs.select(d, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    seen = bind(words(F.col("line")), lambda w: F.struct(F.size(w).alias("n"), half_keys(w, F.size(w), min_words).alias("k")))
-    occurrences = text.select("d", "line_no", "line", seen.alias("s")).filter("s.n > 0")
-    occurrences = settle(occurrences.select("d", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), "s.k.*"))
+    text = text.filter(F.length(F.ltrim("line", F.lit(SPACES))) > 0)  # a filter on the words would split lines twice
+    split = text.select("d", "line_no", "line", words(F.col("line")).alias("w"))
+    occurrences = split.select("d", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), half_keys(F.col("w"), F.size("w"), min_words).alias("k"))
+    occurrences = settle(occurrences.select("d", "line_no", "h1", "h2", "k.*"))
     order = F.struct("d", "line_no")
     distinct = settle(occurrences.groupBy("h1", "h2").agg(F.min(order).alias("o"), F.max(order).alias("x"), *[F.max(k).alias(k) for k in KEYS]))
     halves = distinct.select("o", "h1", F.explode(F.array(*KEYS)).alias("key")).filter("key is not null")
