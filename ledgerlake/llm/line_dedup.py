@@ -108,7 +108,8 @@ def dedup_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
     text = F.when(F.col("_left").isNull(), F.col("_row.text")).otherwise(F.array_join(F.transform("_left", lambda i: F.element_at("_lines", i + 1)), "\n"))
     n = F.coalesce(F.size("_lines"), F.lit(0)).cast("long")
     removed = F.when(F.col("_left").isNull(), F.lit(0)).otherwise(F.size("_lines") - F.size("_left")).cast("long")
-    names = {c: f"_{i}" for i, c in enumerate(docs.columns) if c not in ("n_lines", "n_removed")}
-    out = out.select(*[text.alias(x) if c == "text" else F.col(f"_row.`{c}`").alias(x) for c, x in names.items()], n.alias("_lines"), removed.alias("_gone"))
-    out = out.filter((F.col("_gone") == 0) | F.col(names["text"]).rlike(r"[^\x20\x09-\x0D]"))
-    return out.select(*[F.col(x).alias(c) for c, x in names.items()], F.col("_lines").alias("n_lines"), F.col("_gone").alias("n_removed"))
+    # The generator holds the new text, so the filter on it can't go below and join the lines twice.
+    out = out.select("_row", F.explode(F.array(F.struct(text.alias("text"), n.alias("n_lines"), removed.alias("n_removed")))).alias("_new"))
+    out = out.filter((F.col("_new.n_removed") == 0) | F.col("_new.text").rlike(r"[^\x20\x09-\x0D]"))
+    kept = [F.col("_new.text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return out.select(*kept, F.col("_new.n_lines"), F.col("_new.n_removed"))
