@@ -23,7 +23,17 @@ def settle(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of settled ``tables``; only once all that reads them is settled itself."""
+    spark = tables[0].sparkSession
+    for t in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._settled)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ._spark import settle
+from ._spark import discard, settle
 
 LONG = 2048
 SPACES = " \t\x0b\x0c\r"
@@ -94,7 +94,9 @@ def removed_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
     near_lines = both.filter(without("w", "i") == without("y", "k")).select("o").distinct()
     gone = distinct.select("h1", "h2", "o", "x").join(near_lines.withColumn("near", F.lit(True)), "o", "left").filter("near or o < x")
     drop = occurrences.select("d", "line_no", "h1", "h2").join(gone, ["h1", "h2"]).filter(F.col("near") | (order != F.col("o")))
-    return settle(drop.select("d", "line_no", "h1"))
+    drop = settle(drop.select("d", "line_no", "h1"))
+    discard(occurrences, distinct, wanted, lines, near, groups)
+    return drop
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
