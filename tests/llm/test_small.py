@@ -83,6 +83,19 @@ def test_near_duplicates_brute_force(spark):
     assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df).collect()} == {k: find(k) for k in range(len(texts))}
 
 
+def test_closest_takes_the_best_agreeing_rows_of_other_components():
+    sig = np.tile(np.arange(100, dtype=np.uint32), (6, 1))
+    for k, changed in enumerate([0, 3, 8, 1, 60, 2]):
+        sig[k, :changed] += 1000 * (k + 1)
+    t = pa.table({"u": [9, 2, 3, 4, 5, 6], "c": [9, 1, 1, 9, 1, 1], "n_shingles": [100, 100, 100, 100, 100, 200], "sig": [x.tobytes() for x in sig], "asks": [False] * 6})
+    asking = t.slice(0, 1).set_column(4, "asks", pa.array([True]))
+    least = near_dedup.least_matches(0.85, 1e-5, 100)
+    found = lambda best: near_dedup.closest(least, 85, 100, best)(pa.concat_tables([asking, t])).to_pylist()
+    assert found(1) == [{"u": 9, "v": 2}]  # 4 is of the same component, 6 of another size
+    assert found(4) == [{"u": 9, "v": 2}, {"u": 9, "v": 3}]  # 5 falls below the bound
+    assert near_dedup.closest(least, 85, 100, 4)(t).num_rows == 0
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
