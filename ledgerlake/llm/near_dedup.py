@@ -5,11 +5,12 @@ pair is dropped as soon as the posterior probability that its similarity reaches
 under ``miss``. What survives is confirmed on the full shingle sets.
 
 Shape of the work: texts with equal sets form a class, and only one row of a class goes on, so copies
-never meet as pairs. Inside a bucket pairs are drawn to one representative. While a bucket mixes components, in up to
-``TURNS`` turns each member outside its main component meets one drawn member of it and, compared in blocks of ``BLOCK`` rows, those
-members of all other components whose signatures agree best. So pairs made grow with a bucket's size; comparisons grow with
-its size times its members outside the main component, inside tasks of bounded size. What this leaves out: two components stay apart
-if their similar pairs never are among the best agreeing ones (see the README).
+never meet as pairs. Inside a bucket pairs are drawn to one representative. While a bucket mixes components, each member outside
+its main component meets one drawn member of it and, compared in blocks of ``BLOCK`` rows, those members of all other components
+whose signatures agree best: ``BEST`` in each block, then ``MORE`` times as many in each turn, pairs already tried left out. The last
+turn takes in whole blocks, so every pair of a bucket that lies across components and survives the signatures is confirmed; the
+earlier turns only join what is easily joined. Comparisons, and where many rows lie just under the threshold also pairs, grow with
+a bucket's size times its members outside the main component, inside tasks of bounded size.
 
 Defined cases: a null text or one without words has an empty set (``n_shingles`` 0) and is linked with
 nothing; rows with equal ``doc_id`` count as one document with several texts; a row with null
@@ -19,6 +20,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+from itertools import count
 from math import ceil, comb, log
 
 import numpy as np
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 from ._spark import connected, settle
 from ._words import U, Words, chunks, mix, shingles, utf8
 
-ROWS, STEP, SEED, TURNS, BLOCK, BEST = 5, 20, 0x51ED270B, 3, 1024, 4
+ROWS, STEP, SEED, BLOCK, BEST, MORE = 5, 20, 0x51ED270B, 1024, 4, 8
 
 
 def bands_for(similarity: float, rows: int = ROWS, miss: float = 1e-5) -> int:
@@ -190,8 +192,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     twice = known.groupBy("doc_id").agg(F.min("s1").alias("a"), F.max("s1").alias("b")).filter("a <> b").select("doc_id")
     of = known.join(classes.select("n_shingles", "s1", "s2", "u"), ["n_shingles", "s1", "s2"])
     links = links.union(of.join(twice, "doc_id").select(F.col("doc_id").alias("u"), F.col("u").alias("v")))
-    tried = first
-    for turn in range(TURNS):
+    tried, best = first, BEST
+    for turn in count():
         labels = settle(connected(links))
         now = members.select("key", "u").join(labels.withColumnRenamed("node", "u"), "u", "left").withColumn("c", F.coalesce("component", "u"))
         mixed = now.groupBy("key").agg(F.min("c").alias("p"), F.max("c").alias("q")).filter("p < q").select("key")
@@ -205,17 +207,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
         askers = F.ceil((F.col("total") - F.col("n")) / BLOCK)  # blocks of members outside the main component
         each = lambda x: F.explode(F.sequence(F.lit(0).cast("long"), x - 1))
         row = ["key", "u", "c", "n_shingles", "sig"]
+        largest = now.groupBy("key", F.pmod(deal, wide).alias("j")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
         asking = now.filter("c <> main").select(*row, F.lit(True).alias("asks"), F.pmod(deal, askers).alias("i"), each(wide).alias("j"))
         asked = now.select(*row, F.lit(False).alias("asks"), each(askers).alias("i"), F.pmod(deal, wide).alias("j"))
-        near = asking.union(asked).groupBy("key", "i", "j").applyInArrow(closest(least, num, den, BEST * (turn + 1)), "u long, v long")
+        near = asking.union(asked).groupBy("key", "i", "j").applyInArrow(closest(least, num, den, best), "u long, v long")
         pairs = settle(minor.union(near).distinct().join(tried, ["u", "v"], "left_anti"))
-        new = linked(pairs)
-        if new.isEmpty():
+        links = settle(links.union(linked(pairs)))
+        if best >= largest:  # no block held back a pair
             break
-        tried = tried.union(pairs)
-        links = settle(links.union(new))
-    else:
-        labels = settle(connected(links))
+        tried, best = settle(tried.union(pairs)), best * MORE
+    labels = settle(connected(links))
     member = known.select("doc_id", "n_shingles", "s1", "s2").join(classes.select("n_shingles", "s1", "s2", "u"), ["n_shingles", "s1", "s2"])
     member = member.join(labels.withColumnRenamed("node", "u"), "u", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "u")).alias("component_id"))
     return (

@@ -96,6 +96,29 @@ def test_closest_takes_the_best_agreeing_rows_of_other_components():
     assert near_dedup.closest(least, 85, 100, 4)(t).num_rows == 0
 
 
+def test_near_duplicates_finds_links_among_many_rows_just_under_the_threshold(spark):
+    """A template of 400 words with five changed fields a row: rows are at 0.776 to 0.796, only ten pairs with two equal places at 0.816."""
+    own, base, places = random.Random(3), prose(400).split(), []
+    while len(places) < 140:
+        new = set(own.sample(range(4, 396, 5), 5))
+        if all(len(new & x) < 2 for x in places):
+            places.append(new)
+    pairs = {}
+    while len(pairs) < 10:
+        k = own.randrange(len(places))
+        new = set(own.sample(sorted(places[k]), 2)) | set(own.sample(range(4, 396, 5), 3))
+        if k not in pairs and len(new) == 5 and sum(len(new & x) > 1 for x in places) == 1:
+            pairs[k] = len(places)
+            places.append(new)
+    texts = [" ".join(f"field{k}_{i}" if i in x else w for i, w in enumerate(base)) for k, x in enumerate(places)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df).collect()}
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(396)} for t in texts]
+    links = {(a, b) for a, b in combinations(range(len(texts)), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert links == set(pairs.items())
+    assert got == {k: k for k in range(140)} | {b: a for a, b in pairs.items()}
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
