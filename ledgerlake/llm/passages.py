@@ -3,13 +3,11 @@
 Words become hashes of five-word shingles. For each of ``HASHES`` hash functions the Cartesian tree over a
 document's values is cut at windows of at least ``least`` words: a node's window is the longest stretch in
 which its value is the smallest, so all stretches inside it that hold the node share that min-hash, and the
-windows of a document are about 2n/least rows. Windows of different documents with one (function, value) are
-joined to the earliest document's window, intervals that meet in enough functions are merged per pair of
-documents, and both passages are verified on their shingles.
-
-Equal values meet only the two earliest documents of their group, so a passage in a third of all documents costs
-two rows for each of them. No text moves before verification. (A passage is missed where, under every
-function, two earlier documents hold its smallest shingle but not the passage; see the README.)
+windows of a document are about 2n/least rows. Documents with windows of one (function, value) form a group. All of it meet its
+earliest document; the others meet again in groups of the shingles that document lacks there, and so on until no group has two.
+One agreeing value is enough: the intervals of a pair of documents are merged and both passages verified on their shingles.
+(An exact copy always shares a value; a near one may share none under any function. A passage is missed where the earliest
+document holds all its common shingles, but scattered. Rows grow with the words of all windows in groups of three documents or more; see the README.)
 
 Defined cases: null texts and texts under ``least`` words repeat nothing; null doc_ids take no part and pass
 ``drop_passages`` as they are; rows with equal doc_id are one document and never repeat each other; extra
@@ -25,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from ._spark import settle
 from ._words import U, Words, chunks, mix, shingles, utf8
 
-SHINGLE, HASHES, AGREE = 5, 4, 2
+SHINGLE, HASHES = 5, 4
 
 
 def compact_windows(values: np.ndarray, bounds: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,6 +151,39 @@ def verifier(least: int, num: int, den: int):
     return work
 
 
+def around(batches):
+    """Arrow batches (key, d, bytes of a window) to (key, d, g): its shingles."""
+    for b in batches:
+        data, at = utf8(b.column(2))
+        h, _, bounds = shingles(Words(data, at), SHINGLE)
+        of = pa.array(np.repeat(np.arange(b.num_rows), np.diff(bounds)))
+        yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), pa.array(h.view(np.int64))], ["key", "d", "g"])
+
+
+def meetings(shared: DataFrame, raw: DataFrame) -> DataFrame:
+    """Pairs (key, d, r), r < d, of ``shared(key, d, s, e)``.
+
+    All of a group meet its earliest document. Those left meet again in groups of the shingles of their windows that this document
+    lacks, until no group has two: a pair whose common shingles the earliest document has too needs no other.
+    """
+    state = settle(shared.select(F.col("key").alias("k"), "key", "d").distinct())
+    many = state.groupBy("key").agg(F.count("*").alias("n")).filter("n > 2").select("key")
+    text = shared.join(many, "key").join(raw, "d").select("key", "d", F.substring("t", F.col("s") + 1, F.col("e") - F.col("s")).alias("t"))
+    near = settle(text.mapInArrow(around, "key long, d long, g long").distinct())
+    out = None
+    while True:
+        heads = settle(state.groupBy("k").agg(F.min("d").alias("r"), F.count("*").alias("n")).filter("n > 1"))
+        rest = settle(state.join(heads, "k").filter("d > r"))
+        out = rest.select("key", "d", "r") if out is None else out.union(rest.select("key", "d", "r"))
+        more = rest.filter("n > 2").join(near, ["key", "d"])
+        more = more.join(near.withColumnRenamed("d", "r"), ["key", "r", "g"], "left_anti")
+        more = settle(more.select(F.xxhash64("k", "g").alias("k"), "key", "d").distinct())
+        if more.isEmpty():
+            return out.distinct()
+        groups = more.groupBy("k", "key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("d").cast("decimal(38,0)")).alias("x")).filter("n > 1")
+        state = settle(more.join(groups.groupBy("key", "n", "x").agg(F.min("k").alias("k")).select("k"), "k"))  # groups of the same documents once
+
+
 def repeats(docs: DataFrame, least: int = 50, num: int = 80, den: int = 100) -> DataFrame:
     """Passages of ``docs(doc_id, text)`` that repeat one of an earlier document (smaller doc_id).
 
@@ -162,12 +193,10 @@ def repeats(docs: DataFrame, least: int = 50, num: int = 80, den: int = 100) ->
     windows = settle(docs.mapInArrow(windower(least), "key long, d long, s int, e int"))
     groups = windows.groupBy("key").agg(F.min("d").alias("r"), F.max("d").alias("x")).filter("r < x").select("key", "r")
     shared = settle(windows.join(groups, "key"))
-    heads = shared.filter("d = r").groupBy("key", "r").agg(F.min("s").alias("rs"), F.max("e").alias("re"))
-    rest = shared.filter("d > r").drop("r")
-    next_ = rest.groupBy("key").agg(F.min(F.struct("d", "s", "e")).alias("x")).select("key", F.col("x.d").alias("r"), F.col("x.s").alias("rs"), F.col("x.e").alias("re"))
-    meet = rest.join(heads.union(next_), "key").filter("d > r")
-    pairs = meet.groupBy("d", "r").agg(F.count_distinct("key").alias("n"), *[f(c).alias(c) for f, c in ((F.min, "s"), (F.max, "e"), (F.min, "rs"), (F.max, "re"))]).filter(F.col("n") >= AGREE)
     raw = docs.select("d", F.col("text").cast("binary").alias("t"))
+    spans = shared.groupBy("key", "d").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    meet = meetings(shared, raw).join(spans, ["key", "d"]).join(spans.toDF("key", "r", "rs", "re"), ["key", "r"])
+    pairs = meet.groupBy("d", "r").agg(*[f(c).alias(c) for f, c in ((F.min, "s"), (F.max, "e"), (F.min, "rs"), (F.max, "re"))])
     one = settle(pairs.join(raw, "d").select("d", "r", "s", F.substring("t", F.col("s") + 1, F.col("e") - F.col("s")).alias("a"), "rs", "re"))
     two = one.join(raw.withColumnRenamed("d", "r"), "r").select("d", "r", F.col("s").cast("long"), "a", F.substring("t", F.col("rs") + 1, F.col("re") - F.col("rs")).alias("b"))
     found = two.mapInArrow(verifier(least, num, den), "doc_id long, source_id long, start long, stop long, n_words long, passage binary")

@@ -190,6 +190,19 @@ def test_compact_windows():
     assert list(zip(*(x.tolist() for x in passages.compact_windows(v, bounds, 6)))) == want
 
 
+def test_passages_behind_a_frequent_line_of_earlier_documents(spark):
+    """Two earlier documents hold 40 of a passage's 60 words; each passage is in two later ones."""
+    line, texts = prose(40), []
+    for _ in range(2):
+        texts.append(f"{prose(60)} {line} {prose(60)}")
+    for _ in range(20):
+        own = prose(20)
+        texts += [f"{prose(60)} {line} {own} {prose(60)}" for _ in range(2)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r.doc_id, r.source_id): r.n_words for r in passages.repeats(df).collect()}
+    assert set(found) == {(k + 1, k) for k in range(2, 42, 2)} and min(found.values()) >= 60
+
+
 def test_passages(spark, docs):
     found = passages.repeats(docs).collect()
     by = {(r.doc_id, r.source_id): r for r in found}
