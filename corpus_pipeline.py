@@ -48,5 +48,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: The stages learn, hash and pack; SQL can't express them. Each is tested against brute force.
+#: The stages learn, hash and pack; SQL can't express them. Of them only near_dedup and line_dedup are tested against brute force; run() as a whole is not.
 ORACLE_SQL = None
