@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import functools
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+_open: list[list[DataFrame]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set (tests)."""
+    """The folder that driver and executors share. A local session that names none gets one of its own; a cluster must name one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{(base or '/tmp/checkpoints').rstrip('/')}/ledgerlake"
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(base or tempfile.gettempdir() + '/checkpoints').rstrip('/')}/ledgerlake"
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -25,9 +32,32 @@ def settle(df: DataFrame) -> DataFrame:
     spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._settled = path
+    if _open:
+        _open[-1].append(out)
     return out
 
 
+def scratch(operator):
+    """``operator`` with its result settled and all other tables that it settled deleted at its end."""
+
+    @functools.wraps(operator)
+    def run(*args, **options) -> DataFrame:
+        _open.append([])
+        out, done = None, []
+        try:
+            out = settle(operator(*args, **options))
+        finally:
+            done = _open.pop()
+            for t in done:
+                if t is not out:
+                    discard(t)
+        if _open:
+            _open[-1].append(out)
+        return out
+
+    return run
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the files of settled ``tables``; only once all that reads them is settled itself."""
     spark = tables[0].sparkSession
@@ -56,7 +86,7 @@ def connected(edges: DataFrame) -> DataFrame:
 
     edges = tidy(edges)
     seen = mark(edges)
-    while True:
+    while seen[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -70,3 +100,12 @@ def connected(edges: DataFrame) -> DataFrame:
         seen = now
     roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+
+
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels(node, component)`` after further ``links(u, v)``: only links between components are contracted."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}c"))
+    across = links.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("uc", "u").alias("u"), F.coalesce("vc", "v").alias("v"))
+    moved = settle(connected(across))
+    new = labels.join(moved.toDF("component", "moved"), "component", "left").select("node", F.coalesce("moved", "component").alias("component"))
+    return settle(new.union(moved.join(labels, "node", "left_anti").select("node", "component")))

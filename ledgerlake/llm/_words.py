@@ -8,12 +8,16 @@ import pyarrow as pa
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
+#: Words are hashed by two polynomials over prime fields at fixed points drawn at random: (prime, point).
+LANES = ((2147483647, 1403580337), (2147483629, 918273701))
+SPAN = 1 << 20  # places of a run of bytes whose powers are kept
+_lanes: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def powers(n: int) -> list[np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n."""
+    """BASE**i and BASE**-i modulo 2**64 for i < n; for strings of a few characters only (long ones can be made to collide)."""
     if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 12)
         for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
             x = np.full(size, base, U)
             x[0] = 1
@@ -21,6 +25,80 @@ def powers(n: int) -> list[np.ndarray]:
     return [p[:n] for p in _powers]
 
 
+def lanes() -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each lane point**i and point**-i modulo its prime, i < SPAN."""
+    if not _lanes:
+        for prime, point in LANES:
+            out = []
+            for x in (point, pow(point, -1, prime)):
+                p = np.ones(1, U)
+                while len(p) < SPAN:
+                    p = np.concatenate([p, p * U(pow(x, len(p), prime)) % U(prime)])
+                out.append(p)
+            _lanes.append((out[0], out[1]))
+    return _lanes
+
+
+def release() -> None:
+    """Give freed memory back to the system: a Python worker stays after its task and counts for its executor."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def released(work):
+    """``work(batches)`` that releases memory at its end."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return run
+
+
+def streamed(keys: int, work, enough: int = 20_000):
+    """Arrow batches sorted by their first ``keys`` columns, handed to ``work`` (table, bounds of the groups) in runs of whole groups."""
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+            new = np.zeros(batch.num_rows, bool)
+            for k, c in enumerate(columns):
+                new[1:] |= c[1:] != c[:-1]
+                new[0] |= last is None or last[k] != c[0]
+            last = [c[-1] for c in columns]
+            cuts = np.flatnonzero(new)
+            if len(cuts) and held and sum(b.num_rows for b in held) + cuts[-1] >= enough:
+                held.append(batch.slice(0, cuts[-1]))
+                yield from groups(held)
+                held = [batch.slice(cuts[-1])]
+            else:
+                held.append(batch)
+        if held:
+            yield from groups(held)
+
+    def groups(held):
+        t = pa.Table.from_batches(held).combine_chunks()
+        new = np.zeros(t.num_rows, bool)
+        new[:1] = True
+        for k in range(keys):
+            c = t.column(k).to_numpy()
+            new[1:] |= c[1:] != c[:-1]
+        yield from work(t, np.append(np.flatnonzero(new), t.num_rows))
+
+    return run
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: multiply and xor-shift rounds."""
     h = h ^ (h >> U(32))
@@ -73,10 +151,36 @@ class Words:
         self.end = np.flatnonzero(solid & (~after | edge[1:])) + 1
         self.first = np.searchsorted(self.start, at)  # of the words of each text, and the end
         self.data, self.at = data, at
-        p, q = powers(n + 1)
-        total = np.zeros(n + 1, U)
-        np.cumsum((data.astype(U) + U(1)) * p[:n], out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * q[self.start] + (self.end - self.start).astype(U) * U(0x8CB92BA72F3D8DD7))
+        self.hash = mix(self._hashes())
+
+    def _hashes(self) -> np.ndarray:
+        """Both lanes of each word's polynomial; equal for equal words wherever they are."""
+        start, end, n = self.start, self.end, len(self.data)
+        out = np.zeros(len(start), U)
+        for i in range(0, n, SPAN):  # words that begin in this run of bytes
+            j = min(i + SPAN, n)
+            w = slice(*np.searchsorted(start, (i, j)))
+            inside = np.minimum(end[w], j) - i
+            code = self.data[i:j].astype(U) + U(1)
+            for k, ((prime, _), (p, q)) in enumerate(zip(LANES, lanes())):
+                total = np.concatenate([np.zeros(1, U), np.cumsum(code * p[: j - i])])
+                x = (total[inside] - total[start[w] - i]) % U(prime) * q[start[w] - i] % U(prime)
+                out[w] |= x << U(31 * k)
+        for m in np.flatnonzero(end // SPAN > start // SPAN):  # a word over the end of a run, if any, for each run
+            if end[m] % SPAN or end[m] - start[m] > SPAN:
+                out[m] = self._long(self.data[start[m] : end[m]])
+        return out + (end - start).astype(U) * U(0x8CB92BA72F3D8DD7)
+
+    @staticmethod
+    def _long(word: np.ndarray) -> np.uint64:
+        out = U(0)
+        for k, ((prime, point), (p, _)) in enumerate(zip(LANES, lanes())):
+            x = 0
+            for i in range(0, len(word), SPAN):
+                part = word[i : i + SPAN].astype(U) + U(1)
+                x = (x + int((part * p[: len(part)]).sum()) % prime * pow(point, i, prime)) % prime
+            out |= U(x) << U(31 * k)
+        return out
 
     def text(self) -> np.ndarray:
         """Number of the text of each word."""
@@ -104,3 +208,39 @@ def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
             out[rest] = mix(out[rest] * U(0xE7037ED1A0B428DB) + h[pos[rest] + k])
     out[short] ^= mix(length[short].astype(U))
     return out, pos, bounds
+
+
+class Arena:
+    """Id sequences by key in one flat array; emptied when it holds more than ``room`` keys (results do not depend on it)."""
+
+    def __init__(self, room: int):
+        self.room = room
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict = {}
+        self.begin, self.end = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.flat, self.full = np.zeros(1, np.int32), 0
+
+    def make_room(self) -> None:
+        if len(self.number) > self.room:
+            self.forget()
+
+    def learn(self, keys: list, ids: np.ndarray, counts: np.ndarray) -> None:
+        """``keys`` not yet known, their ids one after the other and how many each has."""
+        first = len(self.number)
+        self.number.update(zip(keys, range(first, first + len(keys))))
+        grown = lambda x, n: x if n <= len(x) else np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)])
+        many = len(self.number)
+        self.begin, self.end, self.flat = grown(self.begin, many), grown(self.end, many), grown(self.flat, self.full + len(ids))
+        self.end[first:many] = self.full + np.cumsum(counts)
+        self.begin[first:many] = self.end[first:many] - counts
+        self.flat[self.full : self.full + len(ids)] = ids
+        self.full += len(ids)
+
+    def gather(self, keys: list) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of known ``keys`` one after the other, and where each key's begin (and the end)."""
+        number = np.fromiter(map(self.number.__getitem__, keys), np.int64, len(keys))
+        begin, counts = self.begin[number], (self.end - self.begin)[number]
+        at = np.concatenate([[0], np.cumsum(counts)])
+        return self.flat[np.arange(at[-1]) + np.repeat(begin - at[:-1], counts)], at

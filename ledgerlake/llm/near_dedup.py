@@ -2,15 +2,20 @@
 
 Banded MinHash gives candidate pairs; the signatures of a pair are compared batch by batch, and the
 pair is dropped as soon as the posterior probability that its similarity reaches the threshold falls
-under ``miss``. What survives is confirmed on the full shingle sets.
+under ``miss``. What survives is confirmed on the full sets of shingles (their words, not hashes).
 
-Shape of the work: texts with equal sets form a class, and only one row of a class goes on, so copies
-never meet as pairs. Inside a bucket pairs are drawn to one representative. While a bucket mixes components, each member outside
-its main component meets one drawn member of it and, compared in blocks of ``BLOCK`` rows, those members of all other components
-whose signatures agree best: ``BEST`` in each block, then ``MORE`` times as many in each turn, pairs already tried left out. The last
-turn takes in whole blocks, so every pair of a bucket that lies across components and survives the signatures is confirmed; the
-earlier turns only join what is easily joined. Comparisons, and where many rows lie just under the threshold also pairs, grow with
-a bucket's size times its members outside the main component, inside tasks of bounded size.
+Shape of the work. Texts with equal sets form a class, and one row of a class goes on, so copies never meet.
+
+1. Each row meets the smallest member of the bucket that it shares with it most often (pairs: at most the rows).
+2. A bucket that still mixes components is streamed to a task: its members outside the largest component (askers)
+   against all members of other components, each pair in the first bucket it shares only. Each asker's ``BEST``
+   best agreeing survivors are confirmed; a bucket with an asker that has more is held back.
+3. Buckets held back come again with the rows' sets: survivors are confirmed inside the task, and rows that
+   a link found there has joined need not meet, so a bucket gives fewer links than it has rows. Nothing is held back.
+
+So every pair of a bucket that lies across components and survives its signatures is confirmed. A bucket of N
+rows with A askers is dealt into blocks of ``BLOCK`` rows (and ``ROOM`` shingles): rows are copied A / BLOCK times, askers N / BLOCK times.
+Comparisons are N times A; they are the price of rows that share a bucket and are not linked.
 
 Defined cases: a null text or one without words has an empty set (``n_shingles`` 0) and is linked with
 nothing; rows with equal ``doc_id`` count as one document with several texts; a row with null
@@ -20,17 +25,16 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
-from itertools import count
 from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._spark import connected, settle
-from ._words import U, Words, chunks, mix, shingles, utf8
+from ._spark import connected, joined, scratch, settle
+from ._words import U, Words, chunks, mix, released, shingles, streamed, utf8
 
-ROWS, STEP, SEED, BLOCK, BEST, MORE = 5, 20, 0x51ED270B, 1024, 4, 8
+ROWS, STEP, SEED, BLOCK, ROOM, BEST, SALT = 5, 20, 0x51ED270B, 1024, 4_000_000, 4, 256
 
 
 def bands_for(similarity: float, rows: int = ROWS, miss: float = 1e-5) -> int:
@@ -107,56 +111,185 @@ def pruner(least: dict[int, int]):
     return prune
 
 
+def pairs_in(bounds: np.ndarray, asks: np.ndarray, limit: int = 1 << 20):
+    """(asker, other row) of every group, about ``limit`` pairs at a time."""
+    first, size = (np.repeat(x, np.diff(bounds)) for x in (bounds[:-1], np.diff(bounds)))
+    askers = np.flatnonzero(asks)
+    ends = np.cumsum(size[askers])
+    i = 0
+    while i < len(askers):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + limit, "right")))
+        part = askers[i:j]
+        n = size[part]
+        at = np.cumsum(n) - n
+        yield np.repeat(part, n), np.arange(n.sum()) - np.repeat(at - first[part], n)
+        i = j
+
+
+def signatures(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), -1)
+
+
+#: asker: outside the bucket's largest component; asks, member: the parts that this copy of the row takes.
+ROW = ("key", "i", "j", "u", "c", "n", "band", "asker", "asks", "member", "sig")
+
+
+def alive(p: np.ndarray, q: np.ndarray, row: dict, sig: np.ndarray, least: dict[int, int], num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs of rows of a bucket those across components that no earlier band holds and that survive every batch: p, q, values in common.
+
+    ``sig``: signatures turned round, a row for each place. Of two askers the one with the larger id asks.
+    """
+    u, c, n, band = (row[k] for k in ("u", "c", "n", "band"))
+    ok = row["member"][q] & (c[p] != c[q]) & (den * np.minimum(n[p], n[q]) >= num * np.maximum(n[p], n[q])) & (~row["asker"][q] | (u[p] > u[q]))
+    p, q = p[ok], q[ok]
+    found, done, same = np.zeros(len(p), np.int32), 0, None
+    for stop, fewest in least.items():
+        before = np.zeros(len(p), bool)
+        for k in range(done, stop):
+            hit = sig[k][p] == sig[k][q]
+            found += hit
+            same = hit if k % ROWS == 0 else same & hit
+            if k % ROWS == ROWS - 1:
+                before |= same & (k // ROWS < band[p])
+        ok = (found >= fewest) & ~before
+        p, q, found, done = p[ok], q[ok], found[ok], stop
+    return p, q, found
+
+
+def columns_of(t: pa.Table) -> dict:
+    return {k: t[k].to_numpy() for k in ROW[:-1]}
+
+
 def closest(least: dict[int, int], num: int, den: int, best: int):
-    """Arrow group (u, c, n_shingles, sig, asks) to (u, v): for each asking row the ``best`` surviving rows of other components."""
-
-    def work(t: pa.Table) -> pa.Table:
-        asks = t["asks"].to_numpy()
-        u, c, n = (t[k].to_numpy() for k in ("u", "c", "n_shingles"))
-        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint32).reshape(len(u), -1)
-        q, d = np.flatnonzero(asks), np.flatnonzero(~asks)
-        few, many = np.minimum(n[q][:, None], n[d]), np.maximum(n[q][:, None], n[d])
-        live = (c[q][:, None] != c[d]) & (den * few >= num * many)
-        found, done = np.zeros(live.shape, np.int16), 0
-        for stop, fewest in least.items():
-            for k in range(done, stop):
-                found += sig[q, k][:, None] == sig[d, k]
-            live &= found >= fewest
-            done = stop
-        found[~live] = -1
-        top = np.argsort(-found, 1, kind="stable")[:, :best]
-        row, col = np.nonzero(np.take_along_axis(found, top, 1) >= 0)
-        x, y = u[q][row], u[d][top[row, col]]
-        return pa.table({"u": np.maximum(x, y), "v": np.minimum(x, y)})
+    """Groups of ``ROW`` to (u, v, held): each asker's ``best`` best agreeing survivors; held: key of a bucket that has more."""
+
+    def work(t: pa.Table, bounds: np.ndarray):
+        row, sig = columns_of(t), np.ascontiguousarray(signatures(t["sig"]).T)
+        for p, q in pairs_in(bounds, row["asks"]):
+            p, q, found = alive(p, q, row, sig, least, num, den)
+            if not len(p):
+                continue
+            order = np.lexsort((row["u"][q], -found, p))
+            p, q = p[order], q[order]
+            turn = np.arange(len(p)) - np.searchsorted(p, p)
+            held = np.unique(row["key"][p[turn >= best]])
+            p, q = p[turn < best], q[turn < best]
+            x, y = row["u"][p], row["u"][q]
+            none = pa.nulls(len(held), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(np.maximum(x, y)), none]), pa.concat_arrays([pa.array(np.minimum(x, y)), none]), pa.concat_arrays([pa.nulls(len(p), pa.int64()), pa.array(held)])], ["u", "v", "held"])
 
     return work
 
 
-def confirmer(size: int, num: int, den: int):
-    """Arrow batches (u, v, left texts, right texts) to the (u, v) with a pair of sets at the threshold."""
+def spanning(least: dict[int, int], num: int, den: int):
+    """Groups of ``ROW`` with ``grams`` (sorted hashes) to (u, v): survivors at the threshold that join what is not joined yet."""
+
+    def work(t: pa.Table, bounds: np.ndarray):
+        for s, e in zip(bounds[:-1], bounds[1:]):
+            part = t.slice(s, e - s).combine_chunks()
+            row, sig = columns_of(part), np.ascontiguousarray(signatures(part["sig"]).T)
+            sets = [np.frombuffer(x, np.int64) for x in part["grams"].to_pylist()]
+            size = np.array([len(x) for x in sets])
+            code = np.unique(np.concatenate(sets), return_inverse=True)[1] if len(sets) else np.zeros(0, int)
+            at = np.concatenate([[0], np.cumsum(size)])
+            mark = np.zeros(int(code.max()) + 1 if len(code) else 1, bool)
+            out, c = [], row["c"].copy()
+            row["c"] = c  # components as joined so far
+            for asker in np.flatnonzero(row["asks"]):
+                q = np.arange(e - s)
+                _, q, found = alive(np.full(len(q), asker), q, row, sig, least, num, den)
+                if not len(q):
+                    continue
+                q = q[np.argsort(-found, kind="stable")]
+                mark[code[at[asker] : at[asker + 1]]] = True
+                width = size[q]
+                begin = np.cumsum(width) - width
+                both = np.add.reduceat(mark[code[np.arange(width.sum()) + np.repeat(at[q] - begin, width)]].astype(np.int64), begin)
+                mark[code[at[asker] : at[asker + 1]]] = False
+                for d in q[den * both >= num * (size[asker] + width - both)]:
+                    if c[asker] != c[d]:
+                        c[c == c[d]] = c[asker]
+                        out.append((max(row["u"][asker], row["u"][d]), min(row["u"][asker], row["u"][d])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+    return work
+
+
+def word_sets(text: bytes | None, size: int) -> set:
+    """Shingles of ``size`` words as words: of fewer words the whole sequence."""
+    w = (text or b"").lower().split()
+    return {tuple(w)} if 0 < len(w) < size else set(zip(*(w[k:] for k in range(size))))
+
 
-    def sets(texts: list) -> list[np.ndarray]:
-        data, at = utf8(pa.array(texts, pa.large_binary()))
-        h, _, bounds = shingles(Words(data, at), size)
-        return [np.unique(h[s:e]) for s, e in zip(bounds[:-1], bounds[1:])]
+def confirmer(size: int, num: int, den: int):
+    """Sorted Arrow batches (v, salt, u, text; u null: a text of v) to the (u, v) with a pair of sets at the threshold."""
 
     def confirm(batches):
+        head, sets = None, []
         for batch in batches:
-            keep = []
-            left, right = batch.column(2), batch.column(3)
-            for i in range(batch.num_rows):
-                a, b = sets(left[i].as_py() or []), sets(right[i].as_py() or [])
-                ok = False
-                for p in a:
-                    for q in b:
-                        both = len(np.intersect1d(p, q, True))
-                        ok = ok or (len(p) > 0 and den * both >= num * (len(p) + len(q) - both))
-                keep.append(ok)
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], ["u", "v"])
+            out = []
+            for v, salt, u, text in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                if head != (v, salt):
+                    head, sets = (v, salt), []
+                own = word_sets(text, size)
+                if u is None:
+                    sets.append(own)
+                else:
+                    fits = (x for x in sets if x and den * min(len(x), len(own)) >= num * max(len(x), len(own)))
+                    if any(den * (both := len(own & x)) >= num * (len(own) + len(x) - both) for x in fits):
+                        out.append((u, v))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["u", "v"])
 
     return confirm
 
 
+def confirmed(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """The ``pairs(u, v)`` with texts at the threshold. A text of v serves ``SALT`` pairs, so no document, however many its pairs, is in one task."""
+    salts = pairs.groupBy("v").agg(F.ceil(F.count("*") / SALT).alias("salts"))
+    heads = salts.select("v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    heads = heads.join(texts.select(F.col("doc_id").alias("v"), "text"), "v").select("v", "salt", F.lit(None).cast("long").alias("u"), "text")
+    rest = pairs.join(salts, "v").select("v", F.pmod(F.xxhash64("u"), F.col("salts")).alias("salt"), "u")
+    rest = rest.join(texts.select(F.col("doc_id").alias("u"), "text"), "u").select("v", "salt", "u", "text")
+    rows = heads.union(rest).select("v", "salt", "u", F.col("text").cast("binary").alias("text"))
+    rows = rows.repartition("v", "salt").sortWithinPartitions("v", "salt", F.asc_nulls_first("u"))
+    return settle(rows.mapInArrow(released(confirmer(size, num, den)), "u long, v long").distinct())
+
+
+def shingler(size: int):
+    """Arrow batches (u, text) to (u, grams): the set's hashes, sorted."""
+
+    def work(batches):
+        for b in batches:
+            data, at = utf8(b.column(1))
+            for i, j in chunks(at):
+                h, _, bounds = shingles(Words(data[at[i] : at[j]], at[i : j + 1] - at[i]), size)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([np.unique(h[s:e]).tobytes() for s, e in zip(bounds[:-1], bounds[1:])], pa.binary())], ["u", "grams"])
+
+    return work
+
+
+def dealt(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows of ``ROW`` of the buckets of ``members(key, band, u)`` that mix components, dealt into blocks (key, i, j)."""
+    now = members.join(labels.select(F.col("node").alias("u"), F.col("component").alias("c")), "u", "left").withColumn("c", F.coalesce("c", "u"))
+    mixed = now.groupBy("key").agg(F.min("c").alias("p"), F.max("c").alias("q")).filter("p < q").select("key")
+    now = settle(now.join(mixed, "key").join(classes.select("u", F.col("n_shingles").alias("n")), "u"))
+    parts = now.groupBy("key", "c").agg(F.count("*").alias("rows"), F.sum("n").alias("grams"))
+    main = parts.groupBy("key").agg(F.max_by(F.struct("c", "rows", "grams"), F.struct("rows", "c")).alias("x"), F.sum("rows").alias("rows"), F.sum("grams").alias("grams"))
+    blocks = lambda rows, grams: F.greatest(F.ceil(rows / BLOCK), F.ceil(grams / ROOM), F.lit(1).cast("long")).cast("int")
+    main = main.select("key", F.col("x.c").alias("main"), blocks(F.col("rows"), F.col("grams")).alias("wide"), blocks(F.col("rows") - F.col("x.rows"), F.col("grams") - F.col("x.grams")).alias("tall"))
+    now = now.join(main, "key").withColumn("asker", F.col("c") != F.col("main"))
+    deal = lambda n: F.pmod(F.xxhash64("u"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    shape = lambda df, i, j, asks, member: df.select("key", i.alias("i"), j.alias("j"), "u", "c", "n", "band", "asker", asks.alias("asks"), member.alias("member"))
+    yes, no, one = F.lit(True), F.lit(False), (F.col("wide") == 1) & (F.col("tall") == 1)
+    small = shape(now.filter(one), F.lit(0), F.lit(0), F.col("asker"), yes)
+    asking = shape(now.filter(~one & F.col("asker")), deal("tall"), each("wide"), yes, no)
+    asked = shape(now.filter(~one), each("tall"), deal("wide"), no, yes)
+    return small.union(asking).union(asked).join(classes.select("u", "sig"), "u").select(*ROW)
+
+
+@scratch
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, miss: float = 1e-5) -> DataFrame:
     """Components of ``docs(doc_id, text)`` under Jaccard similarity of word shingles >= num/den.
 
@@ -167,56 +300,38 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bands = bands_for(num / den, miss=miss)
     least = least_matches(num / den, miss, bands * ROWS)
-    signed = settle(docs.mapInArrow(signer(shingle, bands), f"doc_id long, {SIGNED}"))
+    signed = settle(docs.mapInArrow(released(signer(shingle, bands)), f"doc_id long, {SIGNED}"))
     known = signed.filter("doc_id is not null and n_shingles > 0")
     classes = known.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("u"), F.min(F.struct("doc_id", "sig", "bands")).alias("x"))
     classes = settle(classes.select("n_shingles", "s1", "s2", "u", "x.sig", "x.bands"))
-    buckets = classes.select("u", F.explode("bands").alias("key"))
+    buckets = classes.select("u", F.posexplode("bands").alias("band", "key"))
     ends = buckets.groupBy("key").agg(F.min("u").alias("m"), F.max("u").alias("x")).filter("m < x").select("key", "m")
     members = settle(buckets.join(ends, "key").distinct())
     texts = docs.filter("doc_id is not null")
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        x = pairs.join(classes.select("u", F.col("sig").alias("a"), F.col("n_shingles").alias("n")), "u")
-        x = x.join(classes.select(F.col("u").alias("v"), F.col("sig").alias("b"), F.col("n_shingles").alias("m")), "v")
-        x = x.filter(den * F.least("n", "m") >= num * F.greatest("n", "m"))
-        alive = settle(x.select("u", "v", "a", "b").mapInArrow(pruner(least), "u long, v long").distinct())
-        asked = alive.select("u", "v", F.explode(F.array(F.struct(F.col("u").alias("id"), F.lit(0).alias("side")), F.struct(F.col("v").alias("id"), F.lit(1).alias("side")))).alias("w")).select("u", "v", "w.*")
-        side = lambda k: F.collect_set(F.when(F.col("side") == k, F.col("text").cast("binary")))
-        both = asked.join(texts.withColumnRenamed("doc_id", "id"), "id").groupBy("u", "v").agg(side(0).alias("a"), side(1).alias("b"))
-        return settle(both.mapInArrow(confirmer(shingle, num, den), "u long, v long"))
-
-    votes = members.filter("u > m").groupBy("u", "m").agg(F.count("*").alias("n"))
-    first = settle(votes.groupBy("u").agg(F.min(F.struct(-F.col("n"), F.col("m").alias("v"))).alias("x")).select("u", "x.v"))
-    links = linked(first)
+    votes = members.filter("u > m").groupBy("u", "m").agg(F.count("*").alias("votes"))
+    first = votes.groupBy("u").agg(F.min(F.struct(-F.col("votes"), F.col("m").alias("v"))).alias("x")).select("u", "x.v")
+    both = first.join(classes.select("u", F.col("sig").alias("a"), F.col("n_shingles").alias("n")), "u")
+    both = both.join(classes.select(F.col("u").alias("v"), F.col("sig").alias("b"), F.col("n_shingles").alias("m")), "v")
+    both = both.filter(den * F.least("n", "m") >= num * F.greatest("n", "m"))
+    links = confirmed(settle(both.select("u", "v", "a", "b").mapInArrow(released(pruner(least)), "u long, v long")), texts, shingle, num, den)
     twice = known.groupBy("doc_id").agg(F.min("s1").alias("a"), F.max("s1").alias("b")).filter("a <> b").select("doc_id")
     of = known.join(classes.select("n_shingles", "s1", "s2", "u"), ["n_shingles", "s1", "s2"])
     links = links.union(of.join(twice, "doc_id").select(F.col("doc_id").alias("u"), F.col("u").alias("v")))
-    tried, best = first, BEST
-    for turn in count():
-        labels = settle(connected(links))
-        now = members.select("key", "u").join(labels.withColumnRenamed("node", "u"), "u", "left").withColumn("c", F.coalesce("component", "u"))
-        mixed = now.groupBy("key").agg(F.min("c").alias("p"), F.max("c").alias("q")).filter("p < q").select("key")
-        now = settle(now.select("key", "u", "c").join(mixed, "key"))
-        sizes = now.groupBy("key", "c").agg(F.count("*").alias("n"), F.max_by("u", F.xxhash64("u", "key", F.lit(turn))).alias("one"))
-        main = sizes.groupBy("key").agg(F.max(F.struct("n", F.col("c").alias("main"), "one")).alias("x"), F.sum("n").alias("total")).select("key", "x.main", "x.one", "x.n", "total")
-        now = now.join(main, "key")
-        minor = now.filter("c <> main").select(F.greatest("u", "one").alias("u"), F.least("u", "one").alias("v"))
-        now = now.filter("total > 2").join(classes.select("u", "n_shingles", "sig"), "u")
-        deal, wide = F.xxhash64("u"), F.ceil(F.col("total") / BLOCK)
-        askers = F.ceil((F.col("total") - F.col("n")) / BLOCK)  # blocks of members outside the main component
-        each = lambda x: F.explode(F.sequence(F.lit(0).cast("long"), x - 1))
-        row = ["key", "u", "c", "n_shingles", "sig"]
-        largest = now.groupBy("key", F.pmod(deal, wide).alias("j")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-        asking = now.filter("c <> main").select(*row, F.lit(True).alias("asks"), F.pmod(deal, askers).alias("i"), each(wide).alias("j"))
-        asked = now.select(*row, F.lit(False).alias("asks"), each(askers).alias("i"), F.pmod(deal, wide).alias("j"))
-        near = asking.union(asked).groupBy("key", "i", "j").applyInArrow(closest(least, num, den, best), "u long, v long")
-        pairs = settle(minor.union(near).distinct().join(tried, ["u", "v"], "left_anti"))
-        links = settle(links.union(linked(pairs)))
-        if best >= largest:  # no block held back a pair
-            break
-        tried, best = settle(tried.union(pairs)), best * MORE
     labels = settle(connected(links))
+
+    grouped = lambda rows: rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    members = members.select("key", "band", "u")
+    rows = dealt(members, labels, classes)
+    found = settle(grouped(rows).mapInArrow(released(streamed(3, closest(least, num, den, BEST))), "u long, v long, held long"))
+    labels = joined(labels, confirmed(found.filter("u is not null").select("u", "v").distinct(), texts, shingle, num, den))
+    held = settle(found.filter("held is not null").select(F.col("held").alias("key")).distinct())
+    if not held.isEmpty():
+        rows = dealt(members.join(held, "key"), labels, classes)
+        wanted = settle(rows.select("u").distinct().join(texts.withColumnRenamed("doc_id", "u"), "u").select("u", "text").mapInArrow(released(shingler(shingle)), "u long, grams binary").distinct())
+        pairs = settle(grouped(rows.join(wanted, "u").select(*ROW, "grams")).mapInArrow(released(streamed(3, spanning(least, num, den), 1)), "u long, v long").distinct())
+        labels = joined(labels, confirmed(pairs, texts, shingle, num, den))
+
     member = known.select("doc_id", "n_shingles", "s1", "s2").join(classes.select("n_shingles", "s1", "s2", "u"), ["n_shingles", "s1", "s2"])
     member = member.join(labels.withColumnRenamed("node", "u"), "u", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "u")).alias("component_id"))
     return (
