@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import repeat
+
 import numpy as np
 import pyarrow as pa
 
@@ -222,10 +224,6 @@ class Arena:
         self.begin, self.end = np.zeros(1, np.int64), np.zeros(1, np.int64)
         self.flat, self.full = np.zeros(1, np.int32), 0
 
-    def make_room(self) -> None:
-        if len(self.number) > self.room:
-            self.forget()
-
     def learn(self, keys: list, ids: np.ndarray, counts: np.ndarray) -> None:
         """``keys`` not yet known, their ids one after the other and how many each has."""
         first = len(self.number)
@@ -238,9 +236,15 @@ class Arena:
         self.flat[self.full : self.full + len(ids)] = ids
         self.full += len(ids)
 
-    def gather(self, keys: list) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of known ``keys`` one after the other, and where each key's begin (and the end)."""
-        number = np.fromiter(map(self.number.__getitem__, keys), np.int64, len(keys))
+    def gather(self, keys: list, meet) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of ``keys`` one after the other, and where each key's begin (and the end). ``meet`` learns a list of new keys."""
+        if len(self.number) > self.room:
+            self.forget()
+        number = np.fromiter(map(self.number.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(number < 0).tolist()
+        if new:
+            meet(list({keys[k] for k in new}))
+            number[new] = [self.number[keys[k]] for k in new]
         begin, counts = self.begin[number], (self.end - self.begin)[number]
         at = np.concatenate([[0], np.cumsum(counts)])
         return self.flat[np.arange(at[-1]) + np.repeat(begin - at[:-1], counts)], at

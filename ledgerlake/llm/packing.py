@@ -22,44 +22,40 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ._spark import settle
-from ._words import Words, chunks, utf8
+from ._words import Arena, chunks, released, utf8
 
-SIZE = 2048
+SIZE, ROOM, TOGETHER = 2048, 1_500_000, 200
 _open: dict[str, tuple] = {}
 
 
-def tokenizer(path: str):
+def tokenizer(path: str) -> tuple:
+    """The vocabulary and the ids of words met so far."""
     if path not in _open:
         from tokenizers import Tokenizer
 
-        _open[path] = (Tokenizer.from_file(path), {})
+        _open[path] = (Tokenizer.from_file(path), Arena(ROOM))
     return _open[path]
 
 
-def encode(data: np.ndarray, at: np.ndarray, path: str, room: int = 2_000_000) -> list[np.ndarray]:
-    """Ids of each text. The vocabulary's splitter never crosses white space, so each distinct word is
-    encoded once and remembered (the memory is emptied at ``room`` words; results do not depend on it)."""
+def learn(words: list[bytes], path: str) -> None:
+    """Ids of new words, ``TOGETHER`` of them encoded as one text at a time; the place of each id tells its word."""
     known, memory = tokenizer(path)
-    words = Words(data, at, fold=False)
-    distinct, first, back = np.unique(words.hash, return_index=True, return_inverse=True)
-    keys = distinct.tolist()
-    new = [k for k, x in enumerate(keys) if x not in memory]
-    if new:
-        if len(memory) > room:
-            memory.clear()
-            new = range(len(keys))
-        raw = data.tobytes()
-        texts = [raw[words.start[first[k]] : words.end[first[k]]].decode("utf-8", "replace") for k in new]
-        for k, x in zip(new, known.encode_batch(texts, add_special_tokens=False)):
-            memory[keys[k]] = np.array(x.ids, np.uint32)
-    found = [memory[x] for x in keys]
-    sizes = np.array([len(x) for x in found], np.int64)
-    flat, base = (np.concatenate(found) if found else np.zeros(0, np.uint32)), np.concatenate([[0], np.cumsum(sizes)])
-    n = sizes[back]
-    ends = np.concatenate([[0], np.cumsum(n)])
-    ids = flat[np.arange(ends[-1]) - np.repeat(ends[:-1] - base[back], n)]
-    cut = ends[words.first]
-    return [ids[s:e] for s, e in zip(cut[:-1], cut[1:])]
+    for i in range(0, len(words), TOGETHER * 512):
+        part = [w.decode("utf-8", "replace") for w in words[i : i + TOGETHER * 512]]
+        size = np.fromiter(map(len, part), np.int64, len(part)) + 1
+        found = known.encode_batch([" ".join(part[k : k + TOGETHER]) for k in range(0, len(part), TOGETHER)], add_special_tokens=False)
+        before = np.cumsum(size) - size  # places of the words in the texts, one after the other
+        place = [np.array(x.offsets, np.int64).reshape(-1, 2)[:, 0] + before[k * TOGETHER] for k, x in enumerate(found)]
+        of = np.searchsorted(before, np.concatenate(place), "right") - 1
+        memory.learn(words[i : i + TOGETHER * 512], np.concatenate([np.array(x.ids, np.int32) for x in found]), np.bincount(of, minlength=len(part)))
+
+
+def encode(texts: list[bytes], path: str) -> list[np.ndarray]:
+    """Ids of each text. The vocabulary's splitter never crosses white space, so each distinct word (by its bytes) is encoded once and remembered."""
+    cut = [t.split() for t in texts]  # white space of bytes: \x20 and \x09 to \x0D
+    words = [w for c in cut for w in c]
+    ids, at = tokenizer(path)[1].gather(words, lambda new: learn(new, path))
+    return np.split(ids, at[np.cumsum([len(c) for c in cut], dtype=np.int64)][:-1]) if texts else []
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
@@ -72,8 +68,9 @@ def cutter(path: str, size: int, end_id: int, with_ids: bool):
             data, at = utf8(batch.column(1))
             for i, j in chunks(at):
                 rows, ids = [], []
-                for k, x in enumerate(encode(data[at[i] : at[j]], at[i : j + 1] - at[i], path), i):
-                    x = np.append(x, np.uint32(end_id)).astype("<u4")
+                raw, ends = data[at[i] : at[j]].tobytes(), (at[i : j + 1] - at[i]).tolist()
+                for k, x in enumerate(encode([raw[p:q] for p, q in zip(ends, ends[1:])], path), i):
+                    x = np.append(x, np.int32(end_id)).astype("<u4")
                     for p in range(0, len(x), size):
                         y = x[p : p + size]
                         rows.append((k, p // size, p, len(y), zlib.crc32(y.tobytes()), task, seen[len(y)]))
@@ -168,7 +165,7 @@ def pack(docs: DataFrame, vocabulary: str, size: int = SIZE, end_id: int = 0, wi
     """
     spark = docs.sparkSession
     schema = PIECES + ", ids array<int>" * with_ids
-    pieces = settle(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cutter(vocabulary, size, end_id, with_ids), schema))
+    pieces = settle(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(cutter(vocabulary, size, end_id, with_ids)), schema))
     per_task = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     before = per_task.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))).select("length", "task", F.coalesce("before", F.lit(0)).alias("before"))
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most ``size`` rows

@@ -21,9 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._words import U, chunks, mix, powers, utf8
+from ._words import Arena, U, chunks, mix, powers, released, utf8
 
-SPACE, PENALTY = "▁", np.float32(10)
+SPACE, PENALTY, ROOM = "▁", np.float32(10), 1_000_000
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # fixed values: kinds of piece in a model file
 BPE = 2
 _open: dict[str, Model] = {}
@@ -109,13 +109,7 @@ class Model:
         keys = np.concatenate(keys)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(ids)[order]
-        self.forget()
-
-    def forget(self) -> None:
-        """Segmented words: their numbers, and by number where their ids begin and end in ``flat``."""
-        self.memory: dict[str, int] = {}
-        self.begin, self.end = np.zeros(1, np.int64), np.zeros(1, np.int64)
-        self.flat, self.full = np.zeros(1, np.int32), 0
+        self.memory = Arena(ROOM)  # distinct cuts met so far
 
     def viterbi(self, words: list[str]) -> list[list[int]]:
         """Ids of words of one length, a list for each."""
@@ -175,35 +169,21 @@ class Model:
             found[unknown] = [k for r in raw for k in r]
         return found, counts
 
-    def learn(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
-        first = len(self.memory)
-        self.memory.update(zip(words, range(first, first + len(words))))
-        room = lambda x, n: x if n <= len(x) else np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)])
-        self.begin, self.end, self.flat = room(self.begin, len(self.memory)), room(self.end, len(self.memory)), room(self.flat, self.full + len(ids))
-        self.end[first : len(self.memory)] = self.full + np.cumsum(counts)
-        self.begin[first : len(self.memory)] = self.end[first : len(self.memory)] - counts
-        self.flat[self.full : self.full + len(ids)] = ids
-        self.full += len(ids)
-
-    def encode(self, texts: list[str], room: int = 1_000_000) -> list[np.ndarray]:
-        cuts = [self.cut(t) for t in texts]
-        if len(self.memory) > room:
-            self.forget()
-        words = [w for c in cuts for w in c]
+    def meet(self, words: list[str]) -> None:
+        """Segment new words, those of one length together."""
         new: dict[int, list[str]] = {}
-        for w in set(words).difference(self.memory):
+        for w in words:
             new.setdefault(len(w), []).append(w)
         for size, group in new.items():
             step = max(1, min(20_000, 4_000_000 // (size + 1)))
             for i in range(0, len(group), step):
                 part = group[i : i + step]
-                self.learn(part, *self.segment(part))
-        number = np.fromiter(map(self.memory.__getitem__, words), np.int64, len(words))
-        begin, counts = self.begin[number], (self.end - self.begin)[number]
-        at = np.concatenate([[0], np.cumsum(counts)])
-        ids = self.flat[np.arange(at[-1]) + np.repeat(begin - at[:-1], counts)]
-        ends = at[np.cumsum([len(c) for c in cuts], dtype=np.int64)]
-        return np.split(ids, ends[:-1]) if texts else []
+                self.memory.learn(part, *self.segment(part))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        cuts = [self.cut(t) for t in texts]
+        ids, at = self.memory.gather([w for c in cuts for w in c], self.meet)
+        return np.split(ids, at[np.cumsum([len(c) for c in cuts], dtype=np.int64)][:-1]) if texts else []
 
     @staticmethod
     def cut(text: str) -> list[str]:
@@ -235,7 +215,7 @@ def encode_texts(docs: DataFrame, path: str, with_ids: bool = False) -> DataFram
                 out = [b.column(0).slice(i, j - i), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.encode("utf-8", "replace")).hexdigest() for x in back]), pa.array([x == t for x, t in zip(back, texts)], pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*out, pa.array(ids, pa.list_(pa.int32()))] if with_ids else out, ["doc_id", "n_pieces", "ids_crc32", "decoded_sha256", "same", *["ids"] * with_ids])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string, same boolean" + ", ids array<int>" * with_ids)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(work), "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string, same boolean" + ", ids array<int>" * with_ids)
 
 
 def decode_texts(encoded: DataFrame, path: str) -> DataFrame:
