@@ -9,6 +9,7 @@ import re
 import time
 import uuid
 from pathlib import Path
+from urllib.parse import unquote, urlparse
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -97,6 +98,14 @@ def get(root: str | Path, ref: str) -> np.ndarray | bytes:
     return np.load(io.BytesIO(data), allow_pickle=False) if data.startswith(NPY_MAGIC) else data
 
 
+def file_digest(path: str) -> str:
+    digest = hashlib.sha256()
+    with open(path, "rb") as f:
+        while part := f.read(CHUNK):
+            digest.update(part)
+    return digest.hexdigest()
+
+
 def has_files(path: Path) -> bool:
     return path.is_dir() and any(p.is_file() for p in path.rglob("*"))
 
@@ -116,9 +125,16 @@ def stored(spark: SparkSession, root: str | Path, content: bool = False) -> Data
     if not has_files(top):
         return spark.createDataFrame([], "ref string, path string, length long, modificationTime timestamp" + ", sha256 string" * content)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(top))
+    if content:  # file by file in the tasks, a chunk at a time: no blob is a value of a row
+
+        def digests(batches):
+            for b in batches:
+                yield b.assign(sha256=[file_digest(unquote(urlparse(p).path)) for p in b["path"]])
+
+        files = files.select("path", "length", "modificationTime").mapInPandas(digests, "path string, length long, modificationTime timestamp, sha256 string")
     hexes = F.regexp_extract("path", r"/blobs/([0-9a-f]{2})/([0-9a-f]{62})$", 1), F.regexp_extract("path", r"/blobs/([0-9a-f]{2})/([0-9a-f]{62})$", 2)
     out = files.withColumn("ref", F.concat(F.lit("blob:"), *hexes)).filter(F.length("ref") == 69)
-    return out.select("ref", "path", "length", "modificationTime", *[F.sha2("content", 256).alias("sha256")] * content)
+    return out.select("ref", "path", "length", "modificationTime", *["sha256"] * content)
 
 
 def staged(root: str | Path) -> list[Path]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 import re
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from ledgerlake.errors import CorpusError
 from ledgerlake.functions.columns import attempt_of, run_of
 from ledgerlake.operators.dedup import check_duplicates, guarded, latest_attempt
-from ledgerlake.runlog import attempt_paths, run_dir, widen
+from ledgerlake.runlog import attempt_paths, decode, run_dir, widen
 from ledgerlake.sources import tails
 
 log = logging.getLogger(__name__)
@@ -54,12 +55,11 @@ def scan(spark: SparkSession, root: str | Path, only: list[str] | None = None) -
     """One row for each run directory, from the last line of each attempt file; independent of how long the files are."""
     ids = run_ids(root) if only is None else only
     files = {rid: [str(p) for p in attempt_paths(run_dir(root, rid))] for rid in ids}
-    paths = [p for x in files.values() for p in x]
     last: dict[str, tuple] = {}
-    if paths:
-        shape = "kind string, status string, coords map<string,string>"
-        rows = tails.load(spark, tails.Tails, paths).select("path", F.from_json("tail", shape).alias("t")).filter("t.kind = 'status'")
-        last = {r.path: (r.status, r.coords) for r in rows.select("path", "t.status", "t.coords").collect()}
+    for path, line in tails.last_lines(spark, [p for x in files.values() for p in x]):
+        if (record := decode(line)) and record.get("kind") == "status":
+            coords = record.get("coords")
+            last[path] = (record.get("status"), coords if isinstance(coords, dict) else None)
     out = []
     for rid, own in files.items():
         said = [last[p][0] for p in own if p in last]
@@ -116,33 +116,43 @@ def with_origin(df: DataFrame) -> DataFrame:
 
 def runs_frame(spark: SparkSession, root: str | Path, runs: list[RunInfo], status: bool = False) -> DataFrame:
     """run and configuration columns (inferred, united by name) of the runs that have a run.json[, status]."""
-    paths = [str(p) for r in runs if (p := run_dir(root, r.rid) / "run.json").is_file()]
+    paths = {r.rid: p for r in runs if (p := run_dir(root, r.rid) / "run.json").is_file()}
     if not paths:
         out = spark.createDataFrame([], "run string")
     else:
-        raw = spark.read.json(paths, mode="PERMISSIVE", columnNameOfCorruptRecord="_broken")
-        out = raw.withColumn("run", run_of(F.col("_metadata.file_path"))).drop("_broken")
-        out = out.select("run", *[c for c in out.columns if c != "run"])
+        if len(paths) <= tails.FEW:  # texts read by threads of the driver, a local relation
+            with ThreadPoolExecutor(16) as pool:
+                found = list(zip(paths, pool.map(lambda p: p.read_text(errors="replace"), paths.values())))
+            texts, source = spark.createDataFrame(found, "run string, text string"), spark.sparkContext.parallelize([text for _, text in found], 8)
+        else:
+            texts = spark.read.text(list(map(str, paths.values())), wholetext=True).select(run_of(F.col("_metadata.file_path")).alias("run"), F.col("value").alias("text"))
+            source = list(map(str, paths.values()))
+        shape = spark.read.json(source, mode="PERMISSIVE", columnNameOfCorruptRecord="_broken").schema
+        shape = T.StructType([f for f in shape.fields if f.name not in ("_broken", "run")])
+        out = texts.select("run", F.from_json("text", shape).alias("c")).select("run", *[F.col(f"c.`{c}`").alias(c) for c in shape.names]) if shape.fields else texts.select("run")
     if status:
         known = spark.createDataFrame([(r.rid, r.status) for r in runs], "run string, status string")
         out = out.join(F.broadcast(known), "run") if len(runs) <= 100_000 else out.join(known, "run")
     return out
 
 
+def facts_frame(spark: SparkSession, runs: list[RunInfo], coords: dict[str, str]) -> DataFrame:
+    """Metric records of the listed runs' files, under a pinned schema."""
+    shape = T.StructType([*CORE.fields, *[T.StructField(k, SPARK[v]) for k, v in coords.items()]])
+    paths = [p for r in runs for p in r.paths]
+    columns = ["run", "attempt", "step", "split", "name", "value", "nonfinite", *coords]
+    if not paths:
+        return spark.createDataFrame([], T.StructType([T.StructField("run", T.StringType()), T.StructField("attempt", T.IntegerType()), *shape.fields])).select(*columns)
+    return with_origin(spark.read.schema(shape).json(paths).filter("kind = 'metric'")).select(*columns)
+
+
 def metrics_frame(spark: SparkSession, root: str | Path, runs: list[RunInfo], coords: dict[str, str], guard: bool = True, latest: bool = True) -> DataFrame:
     """The tidy frame: metric records, guarded, of the highest attempt for each key, with each run's configuration.
 
     Only the listed runs' files are read, under a pinned schema. The window over attempts is left out
     when no run has more than one.
     """
-    shape = T.StructType([*CORE.fields, *[T.StructField(k, SPARK[v]) for k, v in coords.items()]])
-    paths = [p for r in runs for p in r.paths]
-    config = runs_frame(spark, root, runs)
-    columns = ["run", "attempt", "step", "split", "name", "value", "nonfinite", *coords]
-    if not paths:
-        facts = spark.createDataFrame([], T.StructType([T.StructField("run", T.StringType()), T.StructField("attempt", T.IntegerType()), *shape.fields])).select(*columns)
-    else:
-        facts = with_origin(spark.read.schema(shape).json(paths).filter("kind = 'metric'")).select(*columns)
+    facts, config = facts_frame(spark, runs, coords), runs_frame(spark, root, runs)
     key = [*KEY, *coords]
     resumed = latest and any(len(r.paths) > 1 for r in runs)
     if guard or resumed:
@@ -158,7 +168,7 @@ def load(spark: SparkSession, root: str | Path, *, names: list[str] | None = Non
     """Tidy metrics of the corpus. Unfinished runs are left out (and counted in a warning), with their columns.
 
     ``names``: these metrics only. ``coords``: rows that have a value in each of these. The repeated-key check
-    runs at once (``validate``), and the plan keeps its own guard.
+    runs at once (``validate``); without it the plan itself guards, by a window over the keys.
     """
     runs = scan(spark, root) if has_runs(root) else []
     if require_finished and (out := [r for r in runs if r.status != "finished"]):
@@ -167,14 +177,13 @@ def load(spark: SparkSession, root: str | Path, *, names: list[str] | None = Non
     found = coords_of(spark, runs)
     if missing := [c for c in coords or [] if c not in found]:
         raise CorpusError(f"no coordinate {', '.join(missing)}; there are {', '.join(found)}")
-    frame = metrics_frame(spark, root, runs, found)
+    frame = metrics_frame(spark, root, runs, found, guard=not validate)
     if names is not None:
         frame = frame.filter(F.col("name").isin(*names))
     for c in coords or []:
         frame = frame.filter(F.col(c).isNotNull())
     if validate and runs:
-        raw = metrics_frame(spark, root, runs, found, guard=False, latest=False)
-        check_duplicates(raw if names is None else raw.filter(F.col("name").isin(*names)), [*KEY, *found])
+        check_duplicates(facts_frame(spark, runs, found), [*KEY, *found])
     return frame
 
 

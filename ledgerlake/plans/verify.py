@@ -17,6 +17,7 @@ from ledgerlake.sources import tails
 
 ERROR, WARNING = "ERROR", "WARNING"
 SHAPE = "level string, run string, message string"
+_parsed: list[DataFrame] = []
 
 
 @dataclass(frozen=True)
@@ -70,12 +71,14 @@ def identities(spark: SparkSession, root: str | Path) -> DataFrame:
 
 
 def lines(spark: SparkSession, root: str | Path) -> DataFrame:
-    """run, attempt, line_no, line, keys and the fields that the checks need, of every line that is an object."""
+    """run, attempt, line_no, fields, keys and the fields that the checks need, of every line that is an object."""
     paths = [str(p) for r in run_ids(root) for p in attempt_paths(run_dir(root, r))]
     raw = tails.load(spark, tails.Lines, paths)
     at = raw.select(run_of(F.col("path")).alias("run"), attempt_of(F.col("path")).alias("attempt"), "line_no", "line")
-    record = F.from_json("line", "kind string, git string, coords map<string,string>")
-    return at.withColumn("r", record).withColumn("keys", F.json_object_keys("line")).filter("keys IS NOT NULL").select("run", "attempt", "line_no", "line", "keys", "r.kind", "r.git", "r.coords")
+    rows = at.withColumn("keys", F.json_object_keys("line")).filter("keys IS NOT NULL").withColumn("fields", F.from_json("line", "map<string,string>"))
+    field = lambda k: F.col("fields")[k]
+    coords = F.when(field("kind") == "status", F.from_json(field("coords"), "map<string,string>"))
+    return rows.select("run", "attempt", "line_no", "fields", "keys", field("kind").alias("kind"), field("git").alias("git"), coords.alias("coords"))
 
 
 def problems_of(df: DataFrame, message, level: str = ERROR) -> DataFrame:
@@ -99,8 +102,7 @@ def record_problems(spark: SparkSession, root: str | Path, rows: DataFrame) -> l
     out.append(problems_of(both.filter("none AND size(used) > 0"), F.concat(where, F.lit("coordinates are used and none are declared: "), F.array_join("used", ", "))))
     out.append(problems_of(both.filter("NOT none AND declared <> used"), F.concat(where, F.lit("declared "), F.array_join("declared", ", "), F.lit(" but used "), F.array_join("used", ", "))))
     # The key of a metric: every field but its kind and value, in order of name.
-    v = F.from_json("line", "map<string,string>")
-    key = F.to_json(F.map_from_entries(F.array_sort(F.filter(F.map_entries(v), lambda e: ~e["key"].isin("kind", "value", "nonfinite") & e["value"].isNotNull()))))
+    key = F.to_json(F.map_from_entries(F.array_sort(F.filter(F.map_entries("fields"), lambda e: ~e["key"].isin("kind", "value", "nonfinite") & e["value"].isNotNull()))))
     repeated = metrics.groupBy(*file, key.alias("key")).agg(F.count("*").alias("n")).filter("n > 1").groupBy(*file).agg(F.count("*").alias("k"), F.min("key").alias("key"))
     out.append(problems_of(repeated, F.concat(where, F.col("k").cast("string"), F.lit(" repeated metric keys, such as "), F.col("key"))))
     there = [str(p) for r in run_ids(root) if (p := run_dir(root, r) / "run.json").is_file()]
@@ -131,6 +133,7 @@ def blob_problems(spark: SparkSession, root: str | Path, rehash: bool) -> list[D
 def problems(spark: SparkSession, root: str | Path, *, rehash: bool = False) -> DataFrame:
     """level, run, message of all broken invariants, in order of run."""
     rows = lines(spark, root).persist()  # one parse for all checks
+    _parsed.append(rows)
     parts = [identities(spark, root), gaps(spark, root), *record_problems(spark, root, rows), *blob_problems(spark, root, rehash)]
     out = parts[0]
     for p in parts[1:]:
@@ -139,4 +142,8 @@ def problems(spark: SparkSession, root: str | Path, *, rehash: bool = False) ->
 
 
 def verify(spark: SparkSession, root: str | Path, *, blobs: bool = False) -> list[Problem]:
-    return [Problem(*r) for r in problems(spark, root, rehash=blobs).collect()]
+    try:
+        return [Problem(*r) for r in problems(spark, root, rehash=blobs).collect()]
+    finally:
+        while _parsed:
+            _parsed.pop().unpersist()

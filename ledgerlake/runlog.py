@@ -19,6 +19,8 @@ from ledgerlake.errors import AlreadyFinishedError, CollisionError, RecordError
 from ledgerlake.identity import canonical, check_name, run_id
 
 TAIL_BYTES = 1 << 16
+#: Fields of records that may be absent.
+FIELDS = ("kind", "step", "split", "nonfinite")
 ATTEMPT = re.compile(r"events\.(\d+)\.jsonl\Z")
 #: Types of coordinates as they are declared.
 TYPES = {bool: "BOOLEAN", int: "BIGINT", float: "DOUBLE", str: "VARCHAR"}
@@ -119,6 +121,11 @@ def plain(value: object) -> object:
     return value.item()
 
 
+def present(kind: str, **fields) -> dict:
+    """A record's beginning: what has no value is left out."""
+    return {"kind": kind} | {k: v for k, v in fields.items() if v is not None}
+
+
 class Run:
     """One open attempt. Leaving the block finishes it, an exception fails it, close() leaves it incomplete."""
 
@@ -162,7 +169,7 @@ class Run:
     def _extra(self, record: dict, extra: dict) -> dict:
         out = {}
         for key, value in extra.items():
-            if key in record:
+            if key in record or key in FIELDS:
                 raise RecordError(f"{key!r} is a field of the record itself")
             check_name(key, "field", RecordError)
             value = plain(value)
@@ -187,7 +194,7 @@ class Run:
         if isinstance(value, bool) or not isinstance(value, numbers.Real):
             raise RecordError(f"value {value!r} is not a real number")
         step, value = self._core(name, step, split), float(value)
-        record = {"kind": "metric", "step": step, "split": split, "name": name, "value": value}
+        record = present("metric", step=step, split=split) | {"name": name, "value": value}
         if not math.isfinite(value):
             record |= {"value": None, "nonfinite": "nan" if math.isnan(value) else "+inf" if value > 0 else "-inf"}
         coords = self._extra(record, coords)
@@ -203,7 +210,7 @@ class Run:
 
     def blob(self, name: str, obj: object, *, step: int | None = None, **meta) -> str:
         step = self._core(name, step)
-        record = {"kind": "blob", "step": step, "name": name, "ref": "", "format": blobs.format_of(obj), "bytes": 0}
+        record = present("blob", step=step) | {"name": name, "ref": "", "format": blobs.format_of(obj), "bytes": 0}
         if isinstance(obj, np.ndarray):
             record |= {"shape": list(obj.shape), "dtype": str(obj.dtype)}
         meta = self._extra(record, meta)
@@ -212,7 +219,7 @@ class Run:
         return ref
 
     def event(self, name: str, *, step: int | None = None, **fields) -> None:
-        record = {"kind": "event", "step": self._core(name, step), "name": name}
+        record = present("event", step=self._core(name, step)) | {"name": name}
         self._emit(record | self._extra(record, fields))
 
     def last_blob(self, name: str) -> BlobRecord | None:

@@ -43,3 +43,6 @@ Views for SQL: `metrics` (deduplicated, all runs, with configuration), `runs` (c
 def write(path: str | Path) -> Path:
     Path(path).write_text(render())
     return Path(path)
+
+
+write_schema = write
