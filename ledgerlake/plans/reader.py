@@ -8,6 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ledgerlake.errors import CorpusError
@@ -123,7 +124,8 @@ def runs_frame(spark: SparkSession, root: str | Path, runs: list[RunInfo], statu
         if len(paths) <= tails.FEW:  # texts read by threads of the driver, a local relation
             with ThreadPoolExecutor(16) as pool:
                 found = list(zip(paths, pool.map(lambda p: p.read_text(errors="replace"), paths.values())))
-            texts, source = spark.createDataFrame(found, "run string, text string"), spark.sparkContext.parallelize([text for _, text in found], 8)
+            texts = spark.createDataFrame(pa.table({"run": [r for r, _ in found], "text": [t for _, t in found]}))  # a local relation, small enough to broadcast
+            source = spark.sparkContext.parallelize([t for _, t in found], 8)
         else:
             texts = spark.read.text(list(map(str, paths.values())), wholetext=True).select(run_of(F.col("_metadata.file_path")).alias("run"), F.col("value").alias("text"))
             source = list(map(str, paths.values()))

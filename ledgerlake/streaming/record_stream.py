@@ -1,7 +1,7 @@
 """A restartable, exactly-once record stream of a registered length, sealed as equal Parquet shards.
 
-Committed segments are listed in a two-slot journal beside the data; a segment that no checkpoint lists is
-dropped at the next opening. ``sink`` makes a Structured Streaming query append to one.
+Committed segments are listed in a two-slot journal beside the data, with the size and sha256 of every file; a segment that no
+checkpoint lists is dropped at the next opening, and one that is not as listed is refused. ``sink`` makes a Structured Streaming query append to one.
 """
 
 from __future__ import annotations
@@ -15,24 +15,31 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import Path
 
+import numpy as np
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
+from ledgerlake.blobs import file_digest
 from ledgerlake.errors import StorageError
-from ledgerlake.storage import load_journal, partial_of, publication_exists, replace_journal, seal, verify_directory
+from ledgerlake.storage import load_journal, partial_of, publication_exists, replace_journal, seal, sync, verify_directory
 
-SHARD_ROWS = 65_536
-STATE = "ledgerlake.stream-state.v1"
+SHARD_ROWS, BATCH_ROWS = 65_536, 2_048
+STATE = "ledgerlake.stream-state.v2"
 ROW = "row_no"
 SEGMENT = re.compile(r"segment-(\d{6})\Z")
 
 
-def numbered(df: DataFrame, order: list[str]) -> DataFrame:
+def numbered(df: DataFrame, order: list[str], folder: Path | None = None) -> DataFrame:
     """``df`` with row_no from 0 in the given order, without one task seeing all rows.
 
-    Range partitions are sorted; each row's number is its place in its partition plus the sizes of those before.
+    Range partitions are sorted; each row's number is its place in its partition plus the sizes of those before. With a
+    ``folder`` the sorted rows are written there once and numbered as they are read; without, both uses share one exchange.
     """
     parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
     local = parts.withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("long"), 33))
+    if folder is not None:
+        local.write.mode("overwrite").parquet(str(folder))
+        local = df.sparkSession.read.schema(local.schema).parquet(str(folder))
     sizes = local.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return local.join(F.broadcast(before.select("_p", "_b")), "_p").withColumn(ROW, F.col("_b") + F.col("_i")).drop("_p", "_i", "_b")
@@ -40,9 +47,12 @@ def numbered(df: DataFrame, order: list[str]) -> DataFrame:
 
 @dataclass(frozen=True)
 class Checkpoint:
+    """``files``: (path below the stream, bytes, sha256) of all committed files, in order."""
+
     identity: str
     segments: tuple[str, ...]
     rows: int
+    files: tuple[tuple[str, int, str], ...] = ()
 
 
 @dataclass(frozen=True)
@@ -81,12 +91,45 @@ class RecordStream:
         found = load_journal(self._journal, STATE, self._known)
         if found is None:
             return -1, []
-        return found.generation, [Checkpoint(x["identity"], tuple(x["segments"]), x["rows"]) for x in found.value["checkpoints"]]
+        return found.generation, [Checkpoint(x["identity"], tuple(x["segments"]), x["rows"], tuple((f["path"], f["size"], f["digest"]) for f in x["files"])) for x in found.value["checkpoints"]]
 
     def promote(self, generation: int, checkpoints: list[Checkpoint]) -> int:
-        value = {"checkpoints": [{"identity": c.identity, "segments": list(c.segments), "rows": c.rows} for c in checkpoints]}
+        files = lambda c: [dict(zip(("path", "size", "digest"), f)) for f in c.files]
+        value = {"checkpoints": [{"identity": c.identity, "segments": list(c.segments), "rows": c.rows, "files": files(c)} for c in checkpoints]}
         return replace_journal(self._journal, STATE, self._known, value, generation).generation
 
+    def check_history(self, kept: list[Checkpoint]) -> None:
+        """Counts and names of the checkpoints agree, and the one before is the beginning of the current one."""
+        for c in kept:
+            if not 0 <= c.rows <= self.rows or [n for n, s in enumerate(c.segments) if s != f"segment-{n:06d}"] or {Path(f[0]).parts[0] for f in c.files} != set(c.segments):
+                raise StorageError(f"{self.root}: checkpoint {c.identity!r} is inconsistent")
+        for old, new in zip(kept, kept[1:]):
+            if old.identity == new.identity or old.rows > new.rows or new.segments[: len(old.segments)] != old.segments or new.files[: len(old.files)] != old.files:
+                raise StorageError(f"{self.root}: {new.identity!r} does not follow {old.identity!r}")
+
+    def check_files(self, spark: SparkSession, kept: list[Checkpoint]) -> None:
+        """Every committed file is as listed (hashed by the executors), and its rows are numbered without a gap."""
+        current = kept[-1]
+        if not current.files:
+            return
+        root = str(self.pending)
+
+        def differ(batches):
+            for b in batches:
+                for path, size, digest in zip(b["path"], b["size"], b["digest"]):
+                    file = Path(root) / path
+                    if not file.is_file() or file.stat().st_size != size or file_digest(str(file)) != digest:
+                        yield b[b["path"] == path][["path"]]
+
+        listed = spark.createDataFrame([*current.files], "path string, size long, digest string")
+        if wrong := listed.repartition(min(len(current.files), 256)).mapInPandas(differ, "path string").limit(3).collect():
+            raise StorageError(f"{self.root}: files differ from the checkpoint: {', '.join(r.path for r in wrong)}")
+        for c in kept:
+            if c.segments:
+                found = spark.read.parquet(*[f"{root}/{s}" for s in c.segments]).agg(F.count("*"), F.min(ROW), F.max(ROW), F.count_distinct(ROW)).first()
+                if tuple(found) != (c.rows, 0, c.rows - 1, c.rows):
+                    raise StorageError(f"{self.root}: the rows of {c.identity!r} are not those committed")
+
     def open(self, spark: SparkSession, checkpoint: str) -> StreamWriter:
         """A writer at ``checkpoint``; after a crash, in whatever state the folders are."""
         self.root.parent.mkdir(parents=True, exist_ok=True)
@@ -110,6 +153,9 @@ class RecordStream:
             generation = self.promote(generation, kept)
         elif not partial:
             raise StorageError(f"{self.pending} is missing")
+        else:
+            self.check_history(kept)
+            self.check_files(spark, kept)
         writer = StreamWriter(spark, self, generation, kept, final)
         if not final:
             writer.rollback(checkpoint)
@@ -119,7 +165,7 @@ class RecordStream:
 class StreamWriter:
     def __init__(self, spark: SparkSession, stream: RecordStream, generation: int, kept: list[Checkpoint], final: bool):
         self.spark, self.stream, self._generation, self._kept, self.final = spark, stream, generation, kept, final
-        self._staged: tuple[str, int] | None = None
+        self._staged: list[tuple[str, int]] = []  # folders and rows of appends since the checkpoint
 
     @property
     def current(self) -> Checkpoint:
@@ -131,7 +177,7 @@ class StreamWriter:
 
     @property
     def rows(self) -> int:
-        return self.current.rows + (self._staged[1] if self._staged else 0)
+        return self.current.rows + sum(n for _, n in self._staged)
 
     @property
     def checkpoint_identity(self) -> str:
@@ -145,26 +191,27 @@ class StreamWriter:
         named = {s for c in self._kept for s in c.segments}
         for p in self.stream.pending.iterdir():
             if p.name not in named:
-                if not (SEGMENT.match(p.name) or p.name.startswith("stage") or p.name == "shards"):
+                if not (SEGMENT.match(p.name) or p.name.startswith("stage") or p.name in ("shards", "sorted")):
                     raise StorageError(f"{p} is none of the stream's files")
                 shutil.rmtree(p)
-        self._staged = None
+        self._staged = []
 
     def append(self, df: DataFrame, order: list[str]) -> int:
-        """Stage the rows of ``df``, which follow those before in the given order; one stage at a time. Returns their count."""
+        """Stage the rows of ``df``, in the given order, after those before; any number of times a checkpoint. Returns their count."""
         self._writable()
         plain = lambda s: [(f.name, f.dataType, f.metadata) for f in s.fields]
         if plain(df.schema) != plain(self.stream.schema):
             raise StorageError(f"the schema is {df.schema.simpleString()}")
-        if self._staged:
-            raise StorageError("rows are staged: checkpoint or roll back first")
-        stage = self.stream.pending / "stage"
-        numbered(df, order).withColumn(ROW, F.col(ROW) + self.rows).write.mode("overwrite").parquet(str(stage))
+        stage, once = self.stream.pending / f"stage-{len(self._staged):06d}", self.stream.pending / "sorted"
+        try:
+            numbered(df, order, once).withColumn(ROW, F.col(ROW) + self.rows).write.mode("overwrite").parquet(str(stage))
+        finally:
+            shutil.rmtree(once, ignore_errors=True)
         n = self.spark.read.parquet(str(stage)).count()
-        if self.rows + n > self.stream.rows:
+        if not n or self.rows + n > self.stream.rows:
             shutil.rmtree(stage)
-            raise StorageError(f"{self.rows + n} rows; {self.stream.rows} are registered")
-        self._staged = ("stage", n)
+            raise StorageError(f"{self.rows + n} rows; {self.stream.rows} are registered" if n else "nothing was appended")
+        self._staged.append((stage.name, n))
         return n
 
     def checkpoint(self, identity: str) -> None:
@@ -174,14 +221,20 @@ class StreamWriter:
             raise StorageError("retain or roll back the last checkpoint first")
         if identity == self.current.identity or not identity:
             raise StorageError(f"a checkpoint needs a new name, not {identity!r}")
-        segments = self.current.segments
-        if self._staged:
+        segments, files, rows = self.current.segments, self.current.files, self.rows
+        for stage, _ in self._staged:
             name = f"segment-{len(segments):06d}"
-            os.rename(self.stream.pending / self._staged[0], self.stream.pending / name)
+            folder = self.stream.pending / name
+            os.rename(self.stream.pending / stage, folder)
+            made = sorted(folder.glob("part-*.parquet"))
+            for p in [*made, folder]:
+                sync(p)
             segments = (*segments, name)
-        new = [self.current, Checkpoint(identity, segments, self.rows)]
+            files += tuple((f"{name}/{p.name}", p.stat().st_size, file_digest(str(p))) for p in made)
+        sync(self.stream.pending)
+        new = [self.current, Checkpoint(identity, segments, rows, files)]
         self._generation = self.stream.promote(self._generation, new)
-        self._kept, self._staged = new, None
+        self._kept, self._staged = new, []
 
     def rollback(self, identity: str) -> None:
         """Back to the current checkpoint (drops what is staged) or the one before it."""
@@ -213,6 +266,23 @@ class StreamWriter:
             return self.spark.createDataFrame([], T.StructType([*self.stream.schema.fields, T.StructField(ROW, T.LongType())]))
         return self.spark.read.parquet(*[str(self.stream.pending / s) for s in at.segments])
 
+    def batches(self, identity: str | None = None, rows: int = BATCH_ROWS):
+        """Arrow batches of at most ``rows`` rows committed at a checkpoint, in order, without row_no."""
+        at = next((c for c in self._kept if c.identity == (identity or self.checkpoint_identity)), None)
+        if at is None:
+            raise StorageError(f"no checkpoint {identity!r}")
+        paths = sorted(self.stream.root.glob("shard-*.parquet")) if self.final else [self.stream.pending / f[0] for f in at.files]
+        n = 0
+        for path in paths:
+            for batch in pq.ParquetFile(path).iter_batches(rows):
+                number = batch.column(ROW).to_numpy()
+                if len(number) and (number[0] != n or (np.diff(number) != 1).any()):
+                    raise StorageError(f"{path}: rows are out of order")
+                n += len(number)
+                yield batch.drop_columns([ROW])
+        if n != at.rows:
+            raise StorageError(f"{n} of {at.rows} rows are there")
+
     def finalize(self, identity: str):
         """Compact to shards of equal size, the same whatever the segments were, and seal."""
         self._writable()
@@ -246,7 +316,8 @@ def sink(stream: RecordStream, spark: SparkSession, order: list[str], start: str
         if done and int(done[1]) >= batch:
             return
         writer.retain(writer.checkpoint_identity)
-        writer.append(df, order)
+        if not df.isEmpty():
+            writer.append(df, order)
         writer.checkpoint(name)
 
     return put

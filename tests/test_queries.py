@@ -3,9 +3,10 @@
 import duckdb
 import pytest
 
-from ledgerlake.plans.table_queries import QUERIES, SQL
+from ledgerlake.plans import log_queries, table_queries
 
 SF = "/root/testdata/sf0.001"
+QUERIES, SQL = table_queries.QUERIES | log_queries.QUERIES, table_queries.SQL | log_queries.SQL
 
 
 @pytest.fixture(scope="module")

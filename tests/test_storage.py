@@ -115,6 +115,29 @@ def test_stream_rollback(tmp_path, spark):
         w.finalize("a")
 
 
+def test_stream_refuses_what_is_not_as_committed(tmp_path, spark):
+    s = RecordStream(tmp_path / "s", "t", WHO, SCHEMA, 8)
+    w = s.open(spark, "start")
+    w.append(rows(spark, 0, 3), ["value"])
+    w.append(rows(spark, 3, 5), ["value"])
+    assert w.rows == 5 and w.committed_rows == 0
+    with pytest.raises(StorageError):
+        w.append(rows(spark, 5, 5), ["value"])
+    w.checkpoint("a")
+    assert [x for b in w.batches("a", 2) for x in b.column("value").to_pylist()] == list(range(5)) and all(b.num_rows <= 2 for b in w.batches("a", 2))
+    assert s.open(spark, "a").committed_rows == 5
+    part = next(s.pending.glob("segment-000001/part-*.parquet"))
+    whole = part.read_bytes()
+    part.write_bytes(whole[:-9] + bytes([whole[-9] ^ 1]) + whole[-8:])
+    with pytest.raises(StorageError, match="differ"):
+        s.open(spark, "a")
+    part.write_bytes(whole)
+    generation, kept = s.state()
+    s.promote(generation, [kept[-1].__class__("z", kept[-1].segments, 9, kept[-1].files)])
+    with pytest.raises(StorageError, match="inconsistent"):
+        s.open(spark, "z")
+
+
 def test_sink(tmp_path, spark):
     s = RecordStream(tmp_path / "s", "t", WHO, SCHEMA, 6)
     rows(spark, 0, 3).write.parquet(str(tmp_path / "in"))
