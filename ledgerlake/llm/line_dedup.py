@@ -52,8 +52,9 @@ def half_keys(w: Column, n: Column, least: int) -> Column:
 def variants(lines: DataFrame) -> DataFrame:
     """Rows (v, i, o) of ``lines(o, w, n)``: hash of the line (i = 0) and of the line without word i."""
     i = F.col("i")
-    short = lines.filter(F.col("n") <= LONG).select("o", "w", "n", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("i"))
-    short = short.select("o", "i", F.when(i == 0, F.xxhash64("w")).otherwise(F.xxhash64(F.slice("w", F.lit(1), F.greatest(i - 1, F.lit(0))), F.slice("w", i + 1, F.col("n")))).alias("v"))
+    short = lines.filter(F.col("n") <= LONG).select("o", F.transform("w", lambda x: F.xxhash64(x)).alias("x"), "n")
+    short = short.select("o", "x", "n", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("i"))
+    short = short.select("o", "i", F.when(i == 0, F.xxhash64("x")).otherwise(F.xxhash64(F.slice("x", F.lit(1), F.greatest(i - 1, F.lit(0))), F.slice("x", i + 1, F.col("n")))).alias("v"))
     g = lambda salt, j: F.pmod(F.xxhash64(F.lit(salt), F.col("x"), j), F.lit(1 << 40))
     each = lines.filter(F.col("n") >= LONG).select("o", F.posexplode("w").alias("p", "x")).withColumn("p", F.col("p") + 1)
     line = Window.partitionBy("o").orderBy("p")
@@ -82,7 +83,10 @@ def removed_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
     lines = docs.select(d, "text").filter("text is not null").join(wanted, "d").select("d", F.explode("at").alias("line_no"), F.split("text", "\n").alias("lines"))
     lines = lines.filter(F.col("line_no") < F.size("lines")).select(order.alias("o"), F.element_at("lines", F.col("line_no") + 1).alias("line"))
     lines = lines.select("o", F.xxhash64("line").alias("h1"), words(F.col("line")).alias("w")).withColumn("n", F.size("w")).filter(F.col("n") >= min_words)
-    lines = settle(lines.dropDuplicates(["o", "h1"]).drop("h1"))
+    twice = docs.groupBy(d).agg(F.count("*").alias("n")).filter("n > 1")
+    if not twice.isEmpty():  # rows of one doc_id may hold the same line at the same place
+        lines = lines.dropDuplicates(["o", "h1"])
+    lines = settle(lines.drop("h1"))
     near = settle(variants(lines))
     groups = settle(near.groupBy("v", "i").agg(F.min("o").alias("m"), F.max("o").alias("x")))
     heads = groups.groupBy("v").agg(F.min("m").alias("first"), F.max("x").alias("x"), F.min(F.when(F.col("i") == 0, F.col("m"))).alias("whole"), F.min(F.struct("m", "i")).alias("j")).filter("first < x").drop("x")
