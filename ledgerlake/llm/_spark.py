@@ -3,21 +3,14 @@
 from __future__ import annotations
 
 import functools
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-
-_open: list[list[DataFrame]] = []
+from ledgerlake.session import shared_dir
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A local session that names none gets one of its own; a cluster must name one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{(base or tempfile.gettempdir() + '/checkpoints').rstrip('/')}/ledgerlake"
+_open: list[list[DataFrame]] = []
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -48,9 +41,7 @@ def scratch(operator):
             out = settle(operator(*args, **options))
         finally:
             done = _open.pop()
-            for t in done:
-                if t is not out:
-                    discard(t)
+            discard(*[t for t in done if t is not out])
         if _open:
             _open[-1].append(out)
         return out
@@ -59,11 +50,13 @@ def scratch(operator):
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete the files of settled ``tables``; only once all that reads them is settled itself."""
-    spark = tables[0].sparkSession
+    """Delete the files of settled ``tables``, once each; only when all that reads them is settled itself."""
     for t in tables:
-        path = spark._jvm.org.apache.hadoop.fs.Path(t._settled)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if t._settled:
+            spark = t.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(t._settled)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            t._settled = None
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
