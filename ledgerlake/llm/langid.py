@@ -4,7 +4,7 @@ Character n-grams are counted per language over all learning rows (partial count
 aggregation on the n-gram). An n-gram enters the filter of a language if its share of that language's
 n-grams is at least ``1 / GRAMS`` and at least ``NEAR`` times its largest share in any language; so a
 language has at most GRAMS n-grams and the model has a fixed bound, whatever the corpus. Cell i of the
-table holds the bitmask of the languages whose filter has bit i; the AND of an n-gram's cells is the
+table holds the bitmask of the languages whose filter has bit i, 64 languages a word; the AND of an n-gram's cells is the
 set of languages that contain it. Per-language popcounts over a text, corrected for each filter's false
 positives, decide.
 
@@ -23,11 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ._spark import settle
-from ._words import U, chunks, mix, utf8
+from ._words import U, chunks, mix, released, utf8
 
 SIZES = (2, 3, 4)
 GRAMS, NEAR, CELLS, PROBES = 50_000, 0.25, 1 << 20, 4
-MAX_LANGUAGES = 64
 
 
 def letters(code: np.ndarray) -> np.ndarray:
@@ -53,8 +52,10 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # a space after each word
     keep[:-1] |= letter[1:]  # and before
-    keep &= ~((sign == 32) & np.concatenate([[False], (sign[:-1] == 32) & keep[:-1] & (text[:-1] == text[1:])]))
     sign, text = sign[keep].astype(U), text[keep]
+    once = np.ones(len(sign), bool)
+    once[1:] = (sign[1:] != 32) | (sign[:-1] != 32) | (text[1:] != text[:-1])
+    sign, text = sign[once], text[once]
     hashes, owner = [], []
     for n in SIZES:
         if len(sign) < n:
@@ -113,22 +114,27 @@ def probes(h: np.ndarray) -> list[np.ndarray]:
 @dataclass
 class Model:
     langs: list[str]
-    table: np.ndarray  # uint64[CELLS]: bit l of cell i is bit i of the filter of language l
+    table: np.ndarray  # uint64[words, CELLS]: bit l of cell i is bit i of the filter of language l, 64 languages a word
     false: np.ndarray  # expected false positive rate of each filter
 
+    def languages_of(self, cells: list[np.ndarray], word: int = 0) -> np.ndarray:
+        """Bitmask, of one word of languages, of those that contain each n-gram."""
+        mask = np.full(len(cells[0]), ~U(0))
+        for cell in cells:
+            mask &= self.table[word][cell]
+        return mask
+
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         h, bounds, some = grams(texts)
         if not self.langs:
             return [("und", 0.0)] * len(texts)
-        mask = np.full(len(h), ~U(0))
-        for cell in probes(h):
-            mask &= self.table[cell]
         full, n = np.flatnonzero(some), np.diff(bounds)
-        share = np.zeros((len(texts), len(self.langs)))
-        for k in range(len(self.langs)):
-            if len(full):
-                hits = np.add.reduceat((mask >> U(k) & U(1)).astype(np.int64), bounds[:-1][full])
-                share[full, k] = np.clip((hits / n[full] - self.false[k]) / (1 - self.false[k]), 0, 1)
+        share, at = np.zeros((len(texts), len(self.langs))), probes(h)
+        for k, lang in enumerate(self.langs if len(full) else []):
+            if k % 64 == 0:
+                mask = self.languages_of(at, k // 64)
+            hits = np.add.reduceat((mask >> U(k % 64) & U(1)).astype(np.int64), bounds[:-1][full])
+            share[full, k] = np.clip((hits / n[full] - self.false[k]) / (1 - self.false[k]), 0, 1)
         best = share.argmax(1)
         return [(self.langs[b], float(s[b])) if ok else ("und", 0.0) for b, s, ok in zip(best, share, some)]
 
@@ -136,23 +142,22 @@ class Model:
 def learn(rows: DataFrame) -> Model:
     """A model of ``rows(text, lang)``."""
     rows = rows.filter("text is not null and lang is not null").select("text", "lang")
-    counts = settle(rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    totals = {r[0]: r[1] for r in counts.groupBy("lang").agg(F.sum("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(totals) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    counts = settle(rows.mapInArrow(released(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    totals = {r[0]: r[1] for r in counts.groupBy("lang").agg(F.sum("n")).collect()}  # a row for each language
     langs = sorted(totals, key=lambda x: (-totals[x], x))
     if not langs:
-        return Model([], np.zeros(CELLS, U), np.zeros(0))
-    share = F.col("n") / F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, float(totals[k]))]), F.col("lang"))
-    often = counts.withColumn("share", share).filter(F.col("share") >= 1 / GRAMS)
+        return Model([], np.zeros((1, CELLS), U), np.zeros(0))
+    sizes = counts.sparkSession.createDataFrame(list(totals.items()), "lang string, total long")
+    share = F.col("n") / F.col("total")
+    often = counts.join(F.broadcast(sizes), "lang").withColumn("share", share).filter(F.col("share") >= 1 / GRAMS)
     most = often.groupBy("gram").agg(F.max("share").alias("most"))
     chosen = often.join(most, "gram").filter(F.col("share") >= NEAR * F.col("most")).select("lang", "gram").toArrow()  # at most GRAMS a language
-    table, false = np.zeros(CELLS, U), np.zeros(len(langs))
+    table, false = np.zeros((-(-len(langs) // 64), CELLS), U), np.zeros(len(langs))
     gram, of = chosen.column("gram").to_numpy().view(U), np.array(chosen.column("lang").to_pylist(), object)
     for k, lang in enumerate(langs):
         for cell in probes(gram[of == lang]):
-            np.bitwise_or.at(table, cell, U(1) << U(k))
-        false[k] = ((table >> U(k) & U(1)).mean()) ** PROBES
+            np.bitwise_or.at(table[k // 64], cell, U(1) << U(k % 64))
+        false[k] = ((table[k // 64] >> U(k % 64) & U(1)).mean()) ** PROBES
     return Model(langs, table, false)
 
 
@@ -171,7 +176,7 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataF
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(len(keep))), pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], [*names.values(), "lang_pred", "score"])
 
     kinds = ", ".join(f"`{names[f.name]}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
-    out = rows.toDF(*names.values(), "_text").mapInArrow(work, f"{kinds}, lang_pred string, score double")
+    out = rows.toDF(*names.values(), "_text").mapInArrow(released(work), f"{kinds}, lang_pred string, score double")
     return out.select(*[F.col(names[c]).alias(c) for c in keep], "lang_pred", "score")
 
 
