@@ -2,25 +2,27 @@
 
 Two bag-of-hashed-n-gram models (words and word pairs, ``BUCKETS`` cells): target texts (labelled good) and raw
 text (all rows). A document's log importance weight is the sum over its n-grams of the log ratio of the two;
-a Gumbel number drawn from its doc_id is added to the mean weight per n-gram times ``SHARP``, and the
-top k keys stay: a sample without replacement in proportion to the weights. The k-th largest key is found
-by radix counts over its bits, so nothing is sorted or gathered in one place.
+its key is that weight plus a Gumbel number drawn from its doc_id and text, and the top k keys stay: a sample without
+replacement in proportion to the weights. The k-th largest key is found by radix counts over its bits, so nothing is sorted or
+gathered in one place. ``temper`` divides the log weights (off by default: 1).
 
-Defined cases: an empty or null text has weight 0 and is never kept; no labels make all weights 0; labels
-of the same doc_id: good if none says otherwise; null doc_ids match no label; ties at the k-th key all stay;
-extra columns are ignored.
+Defined cases: an empty or null text has weight 0 and is never kept; no good labels make all weights 0; labels
+of the same doc_id: good if none says otherwise; null doc_ids match no label; equal rows draw equal numbers; ties at the k-th
+key all stay; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ._spark import settle
-from ._words import U, Words, chunks, mix, utf8
+from ._words import U, Words, chunks, mix, released, utf8
 
-BUCKETS, SHARP = 1 << 16, 100.0
+BUCKETS = 1 << 16
 
 
 def cells(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -35,17 +37,37 @@ def cells(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count(batches):
-    """Arrow batches (text, target) to (target, cell, n)."""
-    held = np.zeros((2, BUCKETS), np.int64)
+    """Arrow batches (text) to (cell, n)."""
+    held = np.zeros(BUCKETS, np.int64)
     for b in batches:
         data, at = utf8(b.column(0))
-        target = np.array(b.column(1).to_pylist(), np.int64)
         for i, j in chunks(at):
-            cell, bounds = cells(data[at[i] : at[j]], at[i : j + 1] - at[i])
-            of = np.repeat(target[i:j], np.diff(bounds))
-            held += np.bincount(of * BUCKETS + cell, minlength=2 * BUCKETS).reshape(2, BUCKETS)
-    kind, cell = np.nonzero(held)
-    yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(cell, pa.int32()), pa.array(held[kind, cell])], ["target", "cell", "n"])
+            held += np.bincount(cells(data[at[i] : at[j]], at[i : j + 1] - at[i])[0], minlength=BUCKETS)
+    cell = np.flatnonzero(held)
+    yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(held[cell])], ["cell", "n"])
+
+
+def counts(texts: DataFrame) -> np.ndarray:
+    """N-grams of all ``texts`` in each cell."""
+    found = texts.mapInArrow(released(count), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows at most
+    out = np.zeros(BUCKETS)
+    out[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    return out
+
+
+def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Of each cell, the log of its smoothed share in the target over that in raw text; zeros without a target."""
+    share = lambda n: np.log((n + 1) / (n.sum() + BUCKETS))
+    return share(target) - share(raw) if target.any() else np.zeros(BUCKETS)
+
+
+def gumbel(ids: np.ndarray, sums: np.ndarray, seed: int) -> np.ndarray:
+    """A Gumbel number of each (doc_id, checksum of the text)."""
+    u = (mix(mix(ids.astype(U) + U(seed)) + sums.astype(U) * U(0xE7037ED1A0B428DB) + U(0x9E3779B97F4A7C15)) >> U(11)).astype(float)
+    return -np.log(-np.log((u + 0.5) / 2**53))
+
+
+FIXED, SHIFT = 2.0**20, 2**62  # keys as whole numbers, order kept: a millionth apart, of weights up to 2**41
 
 
 def kth_largest(keys: DataFrame, k: int) -> int | None:
@@ -64,42 +86,39 @@ def kth_largest(keys: DataFrame, k: int) -> int | None:
     return low
 
 
-def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 0) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 0, temper: float = 1.0) -> DataFrame:
     """doc_id, n_grams, log_weight, key, kept of ``docs(doc_id, text)``.
 
     ``labels(doc_id, good)``. ``share`` of the non-empty documents stay; by default the labels' share of good ones.
     """
     spark = docs.sparkSession
-    good = labels.filter("doc_id is not null and good is not null").groupBy("doc_id").agg(F.min(F.col("good").cast("int")).alias("target")).hint("merge")  # the same plan at every size
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(good, "doc_id", "left").select("text", F.coalesce("target", F.lit(0)).alias("target"))
-    found = rows.mapInArrow(count, "target int, cell int, n long").groupBy("target", "cell").agg(F.sum("n").alias("n")).toArrow()  # 2 * BUCKETS rows at most
-    n = np.zeros((2, BUCKETS))
-    n[found.column(0).to_numpy(), found.column(1).to_numpy()] = found.column(2).to_numpy()
-    raw, target = n.sum(0), n[1]
-    ratio = np.log((target + 1) / (target.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS)) if target.any() else np.zeros(BUCKETS)
-    shared = spark.sparkContext.broadcast(ratio)
+    marks = labels.filter("doc_id is not null and good is not null").groupBy("doc_id").agg(F.min(F.col("good").cast("int")).alias("target"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    wanted = docs.join(marks.filter("target = 1").select("doc_id"), "doc_id", "left_semi")
+    shared = spark.sparkContext.broadcast(log_ratio(counts(docs.select("text")), counts(wanted.select("text"))))
 
     def score(batches):
         for b in batches:
             data, at = utf8(b.column(1))
             ids = np.array([0 if x is None else x for x in b.column(0).to_pylist()], np.int64)
             for i, j in chunks(at):
-                cell, bounds = cells(data[at[i] : at[j]], at[i : j + 1] - at[i])
+                raw, ends = data[at[i] : at[j]], (at[i : j + 1] - at[i])
+                cell, bounds = cells(raw, ends)
                 size, weight = np.diff(bounds), np.zeros(j - i)
                 full = np.flatnonzero(size)
                 if len(full):
                     weight[full] = np.add.reduceat(shared.value[cell], bounds[:-1][full])
-                u = (mix(mix(ids[i:j].astype(U) + U(seed)) + U(0x9E3779B97F4A7C15)) >> U(11)).astype(float) / 2**53
-                gumbel = -np.log(-np.log(np.clip(u, 1e-300, 1 - 1e-16)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(size), pa.array(weight), pa.array(SHARP * weight / np.maximum(size, 1) + gumbel)], ["doc_id", "n_grams", "log_weight", "key"])
+                view = memoryview(np.ascontiguousarray(raw))
+                sums = np.array([zlib.crc32(view[s:e]) for s, e in zip(ends[:-1].tolist(), ends[1:].tolist())], np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(size), pa.array(weight), pa.array(weight / temper + gumbel(ids[i:j], sums, seed))], ["doc_id", "n_grams", "log_weight", "key"])
 
-    scored = settle(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, "doc_id long, n_grams long, log_weight double, key double"))
+    scored = settle(docs.mapInArrow(released(score), "doc_id long, n_grams long, log_weight double, key double"))
     if share is None:
-        share = good.agg(F.avg("target")).first()[0]
+        share = marks.agg(F.avg("target")).first()[0]
     some = scored.filter("n_grams > 0")
     k = round((1.0 if share is None else share) * some.count())
-    keys = settle(some.select(F.expr("cast(floor((key + 4096) * 1099511627776d) as bigint)").alias("key")))  # fixed point, order kept
+    fixed = F.floor(F.col("key") * FIXED) + F.lit(SHIFT)
+    keys = settle(some.select(fixed.alias("key")))
     least = kth_largest(keys, k) if k else None
-    fixed = F.expr("cast(floor((key + 4096) * 1099511627776d) as bigint)")
     kept = F.lit(False) if not k else F.lit(True) if least is None else fixed >= least
     return scored.withColumn("kept", kept & (F.col("n_grams") > 0))
