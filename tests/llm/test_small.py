@@ -83,17 +83,70 @@ def test_near_duplicates_brute_force(spark):
     assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df).collect()} == {k: find(k) for k in range(len(texts))}
 
 
-def test_closest_takes_the_best_agreeing_rows_of_other_components():
-    sig = np.tile(np.arange(100, dtype=np.uint32), (6, 1))
-    for k, changed in enumerate([0, 3, 8, 1, 60, 2]):
-        sig[k, :changed] += 1000 * (k + 1)
-    t = pa.table({"u": [9, 2, 3, 4, 5, 6], "c": [9, 1, 1, 9, 1, 1], "n_shingles": [100, 100, 100, 100, 100, 200], "sig": [x.tobytes() for x in sig], "asks": [False] * 6})
-    asking = t.slice(0, 1).set_column(4, "asks", pa.array([True]))
-    least = near_dedup.least_matches(0.85, 1e-5, 100)
-    found = lambda best: near_dedup.closest(least, 85, 100, best)(pa.concat_tables([asking, t])).to_pylist()
-    assert found(1) == [{"u": 9, "v": 2}]  # 4 is of the same component, 6 of another size
-    assert found(4) == [{"u": 9, "v": 2}, {"u": 9, "v": 3}]  # 5 falls below the bound
-    assert near_dedup.closest(least, 85, 100, 4)(t).num_rows == 0
+def links_of(texts, size, num, den):
+    sets = [set(zip(*(t.split()[k:] for k in range(size)))) for t in texts]
+    return {(a, b) for a, b in combinations(range(len(texts)), 2) if den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])}
+
+
+def components(n, links):
+    root = list(range(n))
+    for a, b in sorted(links):
+        x, y = (root[k] for k in (a, b))
+        root = [min(x, y) if r in (x, y) else r for r in root]
+    return dict(enumerate(root))
+
+
+def edited(words, places, tag):
+    return " ".join(f"{tag}_{k}" if k in places else w for k, w in enumerate(words))
+
+
+def test_near_duplicates_among_decoys_under_the_threshold(spark):
+    """Six pairs at 0.86, each amid 120 rows at 0.847 to one of the pair and to nothing else."""
+    own, texts = random.Random(8), []
+    for f in range(6):
+        x = prose(400).split()
+        y = edited(x, set(own.sample(range(2, 398, 4), 10)), f"y{f}").split()
+        family = [edited(base, set(own.sample(range(2, 398, 4), 11)), f"d{f}{k}{g}") for g, base in enumerate((x, y)) for k in range(60)]
+        texts += family[:60] + [" ".join(x), " ".join(y)] + family[60:]
+    links = links_of(texts, 3, 85, 100)
+    assert len(links) >= 6
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, shingle=3, num=85, den=100).collect()}
+    assert got == components(len(texts), links)
+
+
+def test_near_duplicates_in_a_bucket_of_many_blocks(spark, monkeypatch):
+    """2,000 rows of one template, all just under the threshold but for 40 pairs; the bucket is dealt into blocks."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 300)
+    own, base = random.Random(4), prose(120).split()
+    rows = [edited(base, set(own.sample(range(3, 117), 4)), f"r{k}") for k in range(1960)]
+    rows += [edited(rows[k * 40].split(), {own.randrange(3, 117)}, f"p{k}") for k in range(40)]
+    links = links_of(rows, 5, 80, 100)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df).collect()}
+    assert len(links) >= 40 and got == components(len(rows), links)
+
+
+def test_words_made_to_collide_modulo_a_power_of_two(spark):
+    """A long word over two letters and its complement agree under any odd base modulo 2**64; not here."""
+    a = "".join("ab"[bin(k).count("1") % 2] for k in range(4096))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rest = prose(120)
+    w = Words(*utf8(pa.array([f"{a} {b} x {a}"])))
+    assert w.hash[0] == w.hash[3] != w.hash[1]
+    df = spark.createDataFrame([(1, f"{a} one two"), (2, f"{b} one two"), (3, f"{rest} {a}"), (4, f"{rest} {b}")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, shingle=3, num=85, den=100).collect()} == {1: 1, 2: 2, 3: 3, 4: 3}
+    path = vocabulary("word_bpe_49k.json")
+    from tokenizers import Tokenizer
+
+    assert [x.tolist() for x in packing.encode([a.encode(), b.encode()], path)] == [Tokenizer.from_file(path).encode(x, add_special_tokens=False).ids for x in (a, b)]
+    assert {(r.doc_id, r.n_words) for r in passages.repeats(df).collect()} == {(4, 120)}
+
+
+def test_long_words_hash_alike_wherever_they_are():
+    word = "q" * (3 << 20)
+    w = Words(*utf8(pa.array([f"ab {word} x {'y ' * 700000}{word} ab {word}z"])))
+    assert w.hash[0] == w.hash[-2] and w.hash[1] == w.hash[-3] != w.hash[-1] and len(set(w.hash.tolist())) == 5
 
 
 def test_near_duplicates_finds_links_among_many_rows_just_under_the_threshold(spark):
@@ -289,6 +342,30 @@ def test_neighbours(spark):
     assert len(neighbours.nearest(df.filter("vec_id < 5"), F.col("vec_id") == 0, 20).collect()) == 4
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e150, 1e-150])
+def test_neighbours_over_blocks_and_lengths(spark, monkeypatch, scale):
+    """Several blocks of rows and of queries, two lengths, magnitudes whose squares leave the range of doubles."""
+    monkeypatch.setattr(neighbours, "BLOCK", 900)
+    monkeypatch.setattr(neighbours, "QUERIES", 60)
+    x = {d: np.random.default_rng(d).standard_normal((2000, d)) * scale for d in (24, 32)}
+    rows = [(k * 2 + (d == 32), v.tolist(), "a", "b") for d, m in x.items() for k, v in enumerate(m)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string, rank string")
+    out = neighbours.nearest(df, F.col("vec_id") % 20 < 2, 20).collect()
+    found = {}
+    for r in out:
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = many = 0
+    for d, m in x.items():
+        for k in range(0, 2000, 10):
+            near = m @ (m[k] / scale)
+            near[k] = -np.inf
+            true = {int(i) * 2 + (d == 32) for i in np.argsort(-near)[:20]}
+            mine = found[k * 2 + (d == 32)]
+            assert len(mine) == 20
+            hit, many = hit + len(mine & true), many + 20
+    assert hit >= 0.9 * many
+
+
 def test_pieces(spark, docs):
     path = vocabulary("piece_bpe_32k.model")
     m = pieces.Model(path)
