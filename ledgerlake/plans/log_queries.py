@@ -188,6 +188,13 @@ def log_query_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reader.query(spark, corpus(spark, sf_dir), sql, name="acc", method="m1", least=2)
 
 
+@query(f"WITH {RUN} SELECT run, step, round(value, 6) AS value FROM tidy WHERE name = 'acc' AND split = 'test' AND value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY run ORDER BY value DESC, step) = 1")
+def log_query_qualify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """QUALIFY and list_contains as other dialects write them."""
+    sql = "SELECT run, step, round(value, 6) AS value FROM metrics WHERE list_contains(array('acc', 'none'), name) AND split = 'test' AND value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY run ORDER BY metrics.value DESC, step) = 1 ORDER BY run"
+    return reader.query(spark, corpus(spark, sf_dir), sql)
+
+
 @query(f"WITH {RUN} SELECT method, status, count(*) AS n FROM s GROUP BY method, status")
 def log_query_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reader.query(spark, corpus(spark, sf_dir), "SELECT * EXCLUDE (run, seed), count(*) AS n FROM runs GROUP BY ALL")

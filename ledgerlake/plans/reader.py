@@ -189,10 +189,48 @@ def load(spark: SparkSession, root: str | Path, *, names: list[str] | None = Non
     return frame
 
 
+#: Spellings of other dialects and Spark's own, applied outside quotes.
+SPELLINGS = ((r"(?i)\*(\s*)EXCLUDE(\s*\()", r"*\1EXCEPT\2"), (r"(?i)\blist_contains(\s*\()", r"array_contains\1"))
+QUOTED = r"('(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`[^`]*`)"
+
+
+def respell(text: str) -> str:
+    for pattern, ours in SPELLINGS:
+        text = re.sub(pattern, ours, text)
+    return text
+
+
 def rewrite_exclude(sql: str) -> str:
-    """``* EXCLUDE (`` as ``* EXCEPT (``, outside quotes."""
-    parts = re.split(r"('(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`[^`]*`)", sql)
-    return "".join(p if i % 2 else re.sub(r"(?i)\*(\s*)EXCLUDE(\s*\()", r"*\1EXCEPT\2", p) for i, p in enumerate(parts))
+    """``* EXCLUDE (`` as ``* EXCEPT (`` and ``list_contains`` as ``array_contains``, outside quotes."""
+    return "".join(p if i % 2 else respell(p) for i, p in enumerate(re.split(QUOTED, sql)))
+
+
+def clauses(sql: str) -> list[tuple[str, int]]:
+    """Words of the outermost statement (upper case) and their places: none inside quotes or brackets."""
+    out, depth = [], 0
+    for m in re.finditer(QUOTED + r"|[()]|[A-Za-z_]\w*", sql):
+        if m[0] in "()":
+            depth += 1 if m[0] == "(" else -1
+        elif not m[1] and not depth:
+            out.append((m[0].upper(), m.start()))
+    return out
+
+
+def rewrite_qualify(sql: str) -> str:
+    """QUALIFY of the outermost statement as a filter on a column of a subquery; QUALIFY inside brackets is left alone."""
+    words = clauses(sql)
+    at = next((p for w, p in words if w == "QUALIFY"), None)
+    start = next((p for w, p in words if w == "SELECT"), None)
+    if at is None or start is None:
+        return sql
+    source = next(p for w, p in words if w == "FROM" and p > start)
+    end = next((p for w, p in words if w in ("ORDER", "LIMIT", "UNION", "EXCEPT", "INTERSECT") and p > at), len(sql))
+    picked, rest, condition = sql[start:source].rstrip(), sql[source:at].rstrip(), sql[at + len("QUALIFY") : end].strip()
+    return f"{sql[:start]}SELECT * EXCEPT (_qualified) FROM ({picked}, ({condition}) AS _qualified {rest}) WHERE _qualified {sql[end:]}"
+
+
+def rewrite(sql: str) -> str:
+    return rewrite_qualify(rewrite_exclude(sql))
 
 
 def query(spark: SparkSession, root: str | Path, sql: str, **args) -> DataFrame:
@@ -207,7 +245,7 @@ def query(spark: SparkSession, root: str | Path, sql: str, **args) -> DataFrame:
     runs_frame(session, root, runs, status=True).createOrReplaceTempView("runs")
     if "events" in sql.lower():
         events_frame(session, runs).createOrReplaceTempView("events")
-    return session.sql(rewrite_exclude(sql), args=args or None)
+    return session.sql(rewrite(sql), args=args or None)
 
 
 def events_frame(spark: SparkSession, runs: list[RunInfo]) -> DataFrame:

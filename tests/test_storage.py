@@ -1,5 +1,7 @@
 """Publications, journals, record streams, checkpoints, command line."""
 
+import dataclasses
+
 import numpy as np
 import pytest
 from pyspark.sql import types as T
@@ -162,6 +164,39 @@ def test_checkpoint(tmp_path):
         checkpoints.save_checkpoint(tmp_path / "d", state, 1.5)
 
 
+@dataclasses.dataclass
+class State:
+    step: int
+    weights: np.ndarray
+    rest: tuple
+
+
+def test_checkpoint_of_a_typed_state(tmp_path):
+    state = State(3, np.eye(2), (State(1, np.zeros(1), ()), {"a": np.arange(2)}))
+    checkpoints.save_checkpoint(tmp_path / "c", state, name="run")
+    step, back = checkpoints.restore_checkpoint(tmp_path / "c", state, name="run", expected_step=3)
+    assert step == 3 and isinstance(back, State) and isinstance(back.rest[0], State) and (back.weights == np.eye(2)).all()
+    assert isinstance(checkpoints.restore_checkpoint_state(tmp_path / "c", [State])[1], State)
+    for bad in (lambda: checkpoints.restore_checkpoint_state(tmp_path / "c"), lambda: checkpoints.restore_checkpoint(tmp_path / "c", state, expected_step=4), lambda: checkpoints.restore_checkpoint(tmp_path / "c", {"step": 3}), lambda: checkpoints.save_checkpoint(tmp_path / "d", [1])):
+        with pytest.raises(StorageError):
+            bad()
+
+
+def test_public_names():
+    import ledgerlake
+
+    assert all(getattr(ledgerlake, name) is not None for name in ledgerlake.__all__)
+    with pytest.raises(AttributeError):
+        ledgerlake.nothing
+
+
+def test_dialect():
+    from ledgerlake.plans.reader import rewrite
+
+    assert rewrite("SELECT * EXCLUDE (a), '* EXCLUDE (' FROM t") == "SELECT * EXCEPT (a), '* EXCLUDE (' FROM t"
+    assert rewrite("SELECT a FROM t WHERE b QUALIFY c = 1 LIMIT 3") == "SELECT * EXCEPT (_qualified) FROM (SELECT a, (c = 1) AS _qualified FROM t WHERE b) WHERE _qualified LIMIT 3"
+
+
 def test_command_line(tmp_path, spark, config, capsys, monkeypatch):
     monkeypatch.setattr(cli, "_session", lambda args: spark)
     with runlog.init(tmp_path, config) as run:
