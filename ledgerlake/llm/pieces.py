@@ -3,7 +3,8 @@
 A model file's pieces become a sorted array of 64-bit keys. Text is cut before each run of spaces (no piece
 reaches from a letter into a following space), each distinct cut is segmented once, and cuts of equal length
 advance together: for each end, substring hashes of all starts probe the keys, and vectorised maxima keep the
-backpointers. Unknown characters become byte pieces, so decoding gives the text back.
+backpointers. A cut of more than ``LONG`` characters is alone with its length, so there all its places are probed together and
+one pass keeps the backpointers. Unknown characters become byte pieces, so decoding gives the text back; decoding gathers the bytes of all pieces of a batch at once.
 
 A BPE file has merge ranks in place of log probabilities; they become Zipf weights, log(1 / (rank + 2)).
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ._words import Arena, U, chunks, mix, powers, released, utf8
 
-SPACE, PENALTY, ROOM = "▁", np.float32(10), 1_000_000
+SPACE, PENALTY, ROOM, LONG = "▁", np.float32(10), 1_000_000, 1024
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # fixed values: kinds of piece in a model file
 BPE = 2
 _open: dict[str, Model] = {}
@@ -93,6 +94,8 @@ class Model:
         self.unknown = self.scores[usable].min() - PENALTY
         self.bytes = {int(self.pieces[k][3:5], 16): k for k, kind in enumerate(self.kinds) if kind == BYTE}
         self.raw = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else p.replace(SPACE, " ").encode() for p, kind in zip(self.pieces, self.kinds)]
+        self.sizes = np.array([len(x) for x in self.raw], np.int64)
+        self.bytes_at, self.all = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(self.raw), np.uint8)
         self.widths = np.array([len(p) for p in self.pieces])
         self.longest = max(len(self.pieces[k]) for k in usable)
         self.characters = {self.pieces[k] for k in usable if len(self.pieces[k]) == 1}
@@ -169,12 +172,53 @@ class Model:
             found[unknown] = [k for r in raw for k in r]
         return found, counts
 
+    def segment_long(self, word: str) -> np.ndarray:
+        """Ids of one long word: pieces of each length are probed at all places together, then one pass over the places."""
+        code = np.frombuffer(word.replace(" ", SPACE).encode("utf-32-le", "surrogatepass"), np.uint32)
+        n = len(code)
+        total = hashes(code[None])[0]
+        _, q = powers(n + 1)
+        ends, starts, found = [], [], []
+        for size in range(1, min(self.longest, n) + 1):
+            h = (total[size:] - total[:-size]) * q[: n - size + 1]
+            row = np.flatnonzero(self.seen[h >> U(44)])
+            key = keyed(h[row], size)
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[at] == key
+            starts.append(row[hit])
+            ends.append(row[hit] + size)
+            found.append(self.ids[at[hit]])
+        start, end, which = (np.concatenate(x) for x in (starts, ends, found))
+        order = np.lexsort((start, end))
+        start, which, score = start[order].tolist(), which[order].tolist(), self.scores[which[order]].tolist()
+        cut = np.searchsorted(end[order], np.arange(n + 2)).tolist()
+        unknown, best, back, piece = float(self.unknown), [0.0] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        for e in range(1, n + 1):
+            top, s0, w0, single = -np.inf, e - 1, -1, False
+            for k in range(cut[e], cut[e + 1]):
+                s = start[k]
+                single = single or s == e - 1
+                if best[s] + score[k] > top:
+                    top, s0, w0 = best[s] + score[k], s, which[k]
+            if not single and best[e - 1] + unknown > top:
+                top, s0, w0 = best[e - 1] + unknown, e - 1, -1
+            best[e], back[e], piece[e] = top, s0, w0
+        out, e = [], n
+        while e:
+            out += [piece[e]] if piece[e] >= 0 else [self.bytes[x] for x in reversed(chr(code[e - 1]).encode("utf-8", "replace"))]
+            e = back[e]
+        return np.array(out[::-1], np.int64)
+
     def meet(self, words: list[str]) -> None:
         """Segment new words, those of one length together."""
         new: dict[int, list[str]] = {}
         for w in words:
             new.setdefault(len(w), []).append(w)
         for size, group in new.items():
+            if size > LONG:
+                ids = [self.segment_long(w) for w in group]
+                self.memory.learn(group, np.concatenate(ids), np.array([len(x) for x in ids]))
+                continue
             step = max(1, min(20_000, 4_000_000 // (size + 1)))
             for i in range(0, len(group), step):
                 part = group[i : i + step]
@@ -191,7 +235,16 @@ class Model:
         return re.findall(" +[^ ]*", " " + text.replace(SPACE, " ")) if text else []
 
     def decode(self, ids) -> str:
-        return b"".join([self.raw[k] for k in ids]).decode("utf-8", "replace")[1:]
+        return self.decode_all([np.asarray(ids, np.int64)])[0]
+
+    def decode_all(self, ids: list[np.ndarray]) -> list[str]:
+        """Texts of id sequences: the bytes of all their pieces gathered at once."""
+        flat = np.concatenate(ids).astype(np.int64) if ids else np.zeros(0, np.int64)
+        sizes = self.sizes[flat]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        raw = self.all[np.arange(ends[-1]) + np.repeat(self.bytes_at[flat] - ends[:-1], sizes)].tobytes()
+        cut = ends[np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)])].tolist()
+        return [raw[s:e].decode("utf-8", "replace")[1:] for s, e in zip(cut, cut[1:])]
 
 
 def model(path: str) -> Model:
@@ -211,19 +264,26 @@ def encode_texts(docs: DataFrame, path: str, with_ids: bool = False) -> DataFram
             for i, j in chunks(at, 1 << 23):
                 texts = [t or "" for t in b.column(1).slice(i, j - i).to_pylist()]
                 ids = m.encode(texts)
-                back = [m.decode(x.tolist()) for x in ids]
+                back = m.decode_all(ids)
                 out = [b.column(0).slice(i, j - i), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.encode("utf-8", "replace")).hexdigest() for x in back]), pa.array([x == t for x, t in zip(back, texts)], pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*out, pa.array(ids, pa.list_(pa.int32()))] if with_ids else out, ["doc_id", "n_pieces", "ids_crc32", "decoded_sha256", "same", *["ids"] * with_ids])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(work), "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string, same boolean" + ", ids array<int>" * with_ids)
 
 
+def known(m: Model, column: pa.ListArray) -> list[str | None]:
+    """Texts of a column of id lists; null where the list is."""
+    flat, ends = column.values.to_numpy(zero_copy_only=False), np.asarray(column.offsets)
+    texts = m.decode_all([flat[s:e] for s, e in zip(ends[:-1], ends[1:])])
+    return [t if ok else None for t, ok in zip(texts, column.is_valid().to_pylist())]
+
+
 def decode_texts(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, text of ``encoded(doc_id, ids)``; null ids give a null text."""
 
     def work(batches):
         m = model(path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else m.decode(x) for x in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(known(m, b.column(1)), pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(work, "doc_id long, text string")

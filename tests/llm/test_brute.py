@@ -175,6 +175,20 @@ def test_pieces_of_equal_length_advance_together_as_they_do_alone():
     assert m.viterbi(words) == [m.viterbi([w])[0] for w in words]
 
 
+def test_a_long_text_without_a_space_is_segmented_as_the_short_ones(monkeypatch):
+    m = pieces.Model(vocabulary("piece_bpe_32k.model"))
+    own = random.Random(16)
+    words = ["▁" + "".join(own.choice(["the", "ing", "é", "你", "🙂", "x", "▁", "tion", "zq"]) for _ in range(n)) for n in (40, 90, 200)]
+    score = lambda ids: sum(float(m.scores[k]) if m.kinds[k] == pieces.NORMAL else 0.0 for k in ids)
+    for w in words:
+        one, other = m.viterbi([w])[0], m.segment_long(w).tolist()
+        assert m.decode(one) == m.decode(other) == w.replace("▁", " ")[1:] and abs(score(one) - score(other)) < 1e-3
+    monkeypatch.setattr(pieces, "LONG", 50)
+    text = "ab " + "the🙂ing" * 50_000 + " cd"
+    ids = m.encode([text, "ab cd", ""])
+    assert m.decode_all(ids) == [text, "ab cd", ""]
+
+
 def copies(spans, text):
     """``text`` without the words numbered in ``spans``, cut from the first byte of a run to the end of its last word."""
     at = [(x.start(), x.end()) for x in re.finditer(r"[^\x20\x09-\x0D]+", text)]
