@@ -199,3 +199,94 @@ def window_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_nationkey AS nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier")
 def set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nationkey")).intersect(read(spark, sf_dir, "supplier").select("s_nationkey"))
+
+
+@query("SELECT o_orderkey, l_orderkey, l_linenumber FROM (SELECT * FROM orders WHERE o_orderkey % 3 <> 0) FULL JOIN (SELECT * FROM lineitem WHERE l_orderkey % 5 <> 0 AND l_linenumber <= 2) ON o_orderkey = l_orderkey")
+def full_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, lines = read(spark, sf_dir, "orders").select("o_orderkey").filter("o_orderkey % 3 <> 0"), read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").filter("l_orderkey % 5 <> 0 AND l_linenumber <= 2")
+    return orders.join(lines, F.expr("o_orderkey = l_orderkey"), "full")
+
+
+@query("SELECT c_custkey, count(o_orderkey) AS n, sum(o_totalprice) IS NULL AS none FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
+def left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = read(spark, sf_dir, "customer").select("c_custkey").join(read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), F.expr("c_custkey = o_custkey"), "left")
+    return both.groupBy("c_custkey").agg(F.count("o_orderkey").alias("n"), F.sum("o_totalprice").isNull().alias("none"))
+
+
+@query("SELECT s_suppkey, n_nationkey, n_name FROM (SELECT * FROM supplier WHERE s_acctbal > 5000) RIGHT JOIN nation ON s_nationkey = n_nationkey")
+def right_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rich = read(spark, sf_dir, "supplier").filter("s_acctbal > 5000").select("s_suppkey", "s_nationkey")
+    return rich.join(read(spark, sf_dir, "nation").select("n_nationkey", "n_name"), F.expr("s_nationkey = n_nationkey"), "right").drop("s_nationkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = read(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select("c_custkey")
+    return read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(chosen, F.expr("o_custkey = c_custkey"), "left_semi").select("o_orderkey")
+
+
+@query("SELECT r_name, n_name FROM region CROSS JOIN nation")
+def cross_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """25 nations with 5 regions: both sides of a fixed size."""
+    return read(spark, sf_dir, "region").select("r_name").crossJoin(read(spark, sf_dir, "nation").select("n_name"))
+
+
+@query("""SELECT a.user_id, a.event_id AS first_id, b.event_id AS then_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR WHERE a.event_type = 'click' AND b.event_type = 'purchase'""")
+def range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases within an hour of a click: equal users, a range of times."""
+    events = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    a, b = events.filter("event_type = 'click'").alias("a"), events.filter("event_type = 'purchase'").alias("b")
+    near = F.expr("a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR")
+    return a.join(b, near).select("a.user_id", F.col("a.event_id").alias("first_id"), F.col("b.event_id").alias("then_id"))
+
+
+@query("""SELECT p.event_id, max_by(c.event_id, (c.ts, c.event_id)) AS click_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c
+ON p.user_id = c.user_id AND c.ts <= p.ts GROUP BY p.event_id""")
+def asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last click at or before each purchase of a user: one sort of both sides, no join."""
+    events = read(spark, sf_dir, "events").filter("event_type IN ('click', 'purchase')").select("event_id", "user_id", "ts", "event_type")
+    before = Window.partitionBy("user_id").orderBy("ts", F.col("event_type") == "purchase", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.last(F.when(F.col("event_type") == "click", F.col("event_id")), ignorenulls=True).over(before)
+    return events.select("event_id", "event_type", last.alias("click_id")).filter("event_type = 'purchase'").drop("event_type")
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def cube_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
+@query("SELECT p_brand, p_type, p_size, count(*) AS n FROM part GROUP BY GROUPING SETS ((p_brand), (p_type, p_size), ())")
+def grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = [F.col("p_brand"), F.col("p_type"), F.col("p_size")]
+    return read(spark, sf_dir, "part").groupingSets([key[:1], key[1:], []], *key).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT o_orderkey, lag(o_orderkey) OVER w AS before, lead(o_orderkey, 2) OVER w AS after, CAST(ntile(4) OVER w AS BIGINT) AS quarter, round(sum(o_totalprice) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS moving
+FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")
+def analytic_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    moving = F.round(F.sum("o_totalprice").over(w.rowsBetween(-2, Window.currentRow)), 2)
+    return read(spark, sf_dir, "orders").select("o_orderkey", F.lag("o_orderkey").over(w).alias("before"), F.lead("o_orderkey", 2).over(w).alias("after"), F.ntile(4).over(w).cast("long").alias("quarter"), moving.alias("moving"))
+
+
+@query("SELECT o_custkey AS custkey FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_nationkey < 10")
+def except_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey")).subtract(read(spark, sf_dir, "customer").filter("c_nationkey < 10").select("c_custkey"))
+
+
+@query("SELECT doc_id, md5(text) AS md5, sha1(text) AS sha1 FROM documents WHERE text IS NOT NULL")
+def text_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.col("text").cast("binary")
+    return read(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.md5(raw).alias("md5"), F.sha1(raw).alias("sha1"))
+
+
+@query("SELECT p_brand, round(quantile_cont(p_retailprice, 0.5), 4) AS middle, round(stddev_samp(p_retailprice), 4) AS spread, round(corr(p_retailprice, p_size), 6) AS corr FROM part GROUP BY p_brand")
+def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").groupBy("p_brand").agg(F.round(F.percentile("p_retailprice", 0.5), 4).alias("middle"), F.round(F.stddev_samp("p_retailprice"), 4).alias("spread"), F.round(F.corr("p_retailprice", "p_size"), 6).alias("corr"))
+
+
+@query("SELECT event_type, true AS near FROM events GROUP BY event_type")
+def approximate_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the sketch's count of users lies within 10 % of the exact one, for each type."""
+    both = read(spark, sf_dir, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("a"), F.count_distinct("user_id").alias("n"))
+    return both.select("event_type", (F.abs(F.col("a") - F.col("n")) <= 0.1 * F.col("n")).alias("near"))

@@ -18,4 +18,4 @@ def spark(tmp_path_factory):
 
 @pytest.fixture
 def config():
-    return {"method": "scrub", "dataset": "cifar10", "lr": 0.01, "seed": 0}
+    return {"method": "prune", "dataset": "digits", "lr": 0.05, "seed": 1}

@@ -15,7 +15,7 @@ from ledgerlake.plans import reader, verify
 
 
 def sweep(root, lrs=(0.001,), values=lambda m, lr, seed: 0.5 + 0.1 * seed):
-    for method in ("scrub", "npo"):
+    for method in ("prune", "blend"):
         for lr in lrs:
             for seed in range(3):
                 with runlog.init(root, {"method": method, "lr": lr, "seed": seed}) as run:
@@ -148,7 +148,7 @@ def test_aggregate(spark, tmp_path):
     sweep(tmp_path)
     frame = reader.load(spark, tmp_path, names=["acc"]).filter("split = 'forget'").cache()
     rows = aggregate(frame, over="seed", x="step", by="method").collect()
-    assert [(r.method, r.step, r.n) for r in rows] == [("npo", 100, 3), ("npo", 200, 3), ("scrub", 100, 3), ("scrub", 200, 3)]
+    assert [(r.method, r.step, r.n) for r in rows] == [("blend", 100, 3), ("blend", 200, 3), ("prune", 100, 3), ("prune", 200, 3)]
     assert all(abs(r.y - 0.6) < 1e-12 and abs(r.yerr - 0.1 / math.sqrt(3)) < 1e-12 for r in rows)
     assert aggregate(frame.filter("seed = 0"), over="seed", x="step", by="method").first().yerr is None
     with pytest.raises(CorpusError, match="no column"):
@@ -206,7 +206,7 @@ def edit(root, rid, f, name="events.00.jsonl"):
     [
         (lambda r, i: edit(r, i, lambda t: t + " ", "run.json"), "canonical"),
         (lambda r, i: edit(r, i, lambda t: "{", "run.json"), "not JSON"),
-        (lambda r, i: edit(r, i, lambda t: t.replace("scrub", "other"), "run.json"), "hash"),
+        (lambda r, i: edit(r, i, lambda t: t.replace("prune", "other"), "run.json"), "hash"),
         (lambda r, i: (runlog.run_dir(r, i) / "run.json").unlink(), "no run.json"),
         (lambda r, i: edit(r, i, lambda t: t + t.splitlines()[-1] + "\n"), "more than one status"),
         (lambda r, i: edit(r, i, lambda t: t + t.splitlines()[1] + "\n"), "last record"),
