@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ._spark import settle
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BUCKETS, WORDS, LONGEST = 1 << 18, 200_000, 24
 Rule = tuple[str, str]  # verdict; host, slash, beginning of the path
@@ -47,8 +49,9 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
 class Segmenter:
     """Unigram Viterbi over letters; a word not in the model costs more with each letter."""
 
-    def __init__(self, counts: dict[str, int]):
-        self.total = sum(counts.values()) or 1
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        """``total``: words in all, where ``counts`` holds the common ones only."""
+        self.counts, self.total = counts, total or sum(counts.values()) or 1
         self.score = {w: log(n / self.total) for w, n in counts.items() if len(w) <= LONGEST}
         self.split = lru_cache(100_000)(self._split)
 
@@ -80,10 +83,10 @@ def tokens(host: str, path: str, seg: Segmenter) -> list[int]:
 def learn_words(pages: DataFrame) -> Segmenter:
     plain = F.lower(F.regexp_replace("html", r"(?s)<(script|style)\b.*?</\1>|<[^>]*>", " "))
     each = pages.filter("html is not null").select(F.explode(F.split(plain, r"[^\p{L}]+")).alias("w")).filter((F.length("w") > 0) & (F.length("w") <= LONGEST))
-    counts = each.groupBy("w").agg(F.count("*").alias("n"))
+    counts = settle(each.groupBy("w").agg(F.count("*").alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 0
     rows = counts.filter(F.col("n") >= max(1, total / WORDS)).toArrow()  # WORDS rows at most
-    return Segmenter(dict(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist())))
+    return Segmenter(dict(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist())), total)
 
 
 def judge(pages: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -92,16 +95,11 @@ def judge(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     host, path = split_url(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rows = rows.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", "r.*")
-    seg = spark.sparkContext.broadcast(learn_words(pages).score)
-
-    def segmenter() -> Segmenter:
-        x = Segmenter({})
-        x.score = seg.value
-        x.total = max(1.0, float(np.exp(-min(seg.value.values(), default=0.0))))
-        return x
+    learned = learn_words(pages)
+    seg = spark.sparkContext.broadcast((learned.counts, learned.total))
 
     def counted(batches):
-        x, held = segmenter(), np.zeros((2, BUCKETS), np.int64)
+        x, held = Segmenter(*seg.value), np.zeros((2, BUCKETS), np.int64)
         for b in batches:
             for h, p, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 np.add.at(held[int(v == "block")], tokens(h, p, x), 1)
@@ -119,7 +117,7 @@ def judge(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     none = not prior.get("block")
 
     def scored(batches):
-        x = segmenter()
+        x = Segmenter(*seg.value)
         for b in batches:
             score = [None if r is not None else -1.0 if none or not h and not p else start + float(odds.value[tokens(h, p, x)].sum()) for h, p, r in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)))]
             verdict = [v or ("block" if s > 0 else "allow") for v, s in zip(b.column(4).to_pylist(), score)]
