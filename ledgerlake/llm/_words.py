@@ -12,7 +12,7 @@ BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 #: Words are hashed by two polynomials over prime fields at fixed points drawn at random: (prime, point).
 LANES = ((2147483647, 1403580337), (2147483629, 918273701))
-SPAN = 1 << 20  # places of a run of bytes whose powers are kept
+SPAN = 1 << 15  # bytes hashed in one go, so that all arrays stay in the cache
 _lanes: list[tuple[np.ndarray, np.ndarray]] = []
 
 
@@ -52,10 +52,17 @@ def release() -> None:
         pass
 
 
-def released(work):
-    """``work(batches)`` that releases memory at its end."""
+#: What a Python worker does to forget all that its tasks remembered for the next ones.
+forgets: list = []
+
+
+def released(work, remembers: bool = False):
+    """``work(batches)`` that releases memory at its end; what other work remembered is forgotten at its beginning, unless this one ``remembers`` too."""
 
     def run(batches):
+        if not remembers:
+            for forget in forgets:
+                forget()
         try:
             yield from work(batches)
         finally:
@@ -96,7 +103,8 @@ def streamed(keys: int, work, enough: int = 20_000):
         for k in range(keys):
             c = t.column(k).to_numpy()
             new[1:] |= c[1:] != c[:-1]
-        yield from work(t, np.append(np.flatnonzero(new), t.num_rows))
+        if out := list(work(t, np.append(np.flatnonzero(new), t.num_rows))):
+            yield from pa.Table.from_batches(out).combine_chunks().to_batches()
 
     return run
 
@@ -122,6 +130,19 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]] if len(at) else raw, at - (at[0] if len(at) else 0)
 
 
+def packed(rows: np.ndarray) -> pa.Array:
+    """A binary value for each row of a matrix."""
+    rows = np.ascontiguousarray(rows)
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.itemsize * rows.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(rows)])
+
+
+def unpacked(column: pa.Array | pa.ChunkedArray, kind: type) -> np.ndarray:
+    """The matrix of a column of binary values of one size."""
+    data, at = utf8(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)
+    return np.ascontiguousarray(data).view(kind).reshape(len(at) - 1, -1) if len(data) else np.zeros((len(at) - 1, 0), kind)
+
+
 def chunks(at: np.ndarray, limit: int = 1 << 20):
     """Runs of texts of about ``limit`` bytes; a longer text is a run of its own."""
     i, n = 0, len(at) - 1
@@ -159,14 +180,19 @@ class Words:
         """Both lanes of each word's polynomial; equal for equal words wherever they are."""
         start, end, n = self.start, self.end, len(self.data)
         out = np.zeros(len(start), U)
-        for i in range(0, n, SPAN):  # words that begin in this run of bytes
+        code, total = np.zeros(SPAN, U), np.zeros(SPAN + 1, U)
+        cut = np.searchsorted(start, np.arange(0, n + SPAN, SPAN))
+        for number, i in enumerate(range(0, n, SPAN)):  # words that begin in this run of bytes
             j = min(i + SPAN, n)
-            w = slice(*np.searchsorted(start, (i, j)))
+            w = slice(cut[number], cut[number + 1])
+            begin = start[w] - i
             inside = np.minimum(end[w], j) - i
-            code = self.data[i:j].astype(U) + U(1)
+            np.add(self.data[i:j], U(1), out=code[: j - i], dtype=U)
             for k, ((prime, _), (p, q)) in enumerate(zip(LANES, lanes())):
-                total = np.concatenate([np.zeros(1, U), np.cumsum(code * p[: j - i])])
-                x = (total[inside] - total[start[w] - i]) % U(prime) * q[start[w] - i] % U(prime)
+                part = total[1 : j - i + 1]
+                np.multiply(code[: j - i], p[: j - i], out=part)
+                np.cumsum(part, out=part)
+                x = (total[inside] - total[begin]) % U(prime) * q[begin] % U(prime)
                 out[w] |= x << U(31 * k)
         for m in np.flatnonzero(end // SPAN > start // SPAN):  # a word over the end of a run, if any, for each run
             if end[m] % SPAN or end[m] - start[m] > SPAN:

@@ -22,10 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ._spark import settle
-from ._words import Arena, chunks, released, utf8
+from ._words import Arena, chunks, forgets, released, utf8
 
 SIZE, ROOM, TOGETHER = 2048, 1_500_000, 200
 _open: dict[str, tuple] = {}
+forgets.append(_open.clear)
 
 
 def tokenizer(path: str) -> tuple:
@@ -165,7 +166,7 @@ def pack(docs: DataFrame, vocabulary: str, size: int = SIZE, end_id: int = 0, wi
     """
     spark = docs.sparkSession
     schema = PIECES + ", ids array<int>" * with_ids
-    pieces = settle(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(cutter(vocabulary, size, end_id, with_ids)), schema))
+    pieces = settle(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(cutter(vocabulary, size, end_id, with_ids), remembers=True), schema))
     per_task = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     before = per_task.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))).select("length", "task", F.coalesce("before", F.lit(0)).alias("before"))
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most ``size`` rows

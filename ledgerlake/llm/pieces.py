@@ -22,12 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._words import Arena, U, chunks, mix, powers, released, utf8
+from ._words import Arena, U, chunks, forgets, mix, powers, released, utf8
 
 SPACE, PENALTY, ROOM, LONG = "▁", np.float32(10), 1_000_000, 1024
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # fixed values: kinds of piece in a model file
 BPE = 2
 _open: dict[str, Model] = {}
+forgets.append(_open.clear)
 
 
 def fields(data: bytes):
@@ -268,7 +269,7 @@ def encode_texts(docs: DataFrame, path: str, with_ids: bool = False) -> DataFram
                 out = [b.column(0).slice(i, j - i), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.encode("utf-8", "replace")).hexdigest() for x in back]), pa.array([x == t for x, t in zip(back, texts)], pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*out, pa.array(ids, pa.list_(pa.int32()))] if with_ids else out, ["doc_id", "n_pieces", "ids_crc32", "decoded_sha256", "same", *["ids"] * with_ids])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(work), "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string, same boolean" + ", ids array<int>" * with_ids)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(work, remembers=True), "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string, same boolean" + ", ids array<int>" * with_ids)
 
 
 def known(m: Model, column: pa.ListArray) -> list[str | None]:
