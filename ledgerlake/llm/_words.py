@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from itertools import repeat
 
 import numpy as np
@@ -10,10 +11,8 @@ import pyarrow as pa
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
-#: Words are hashed by two polynomials over prime fields at fixed points drawn at random: (prime, point).
-LANES = ((2147483647, 1403580337), (2147483629, 918273701))
-SPAN = 1 << 15  # bytes hashed in one go, so that all arrays stay in the cache
-_lanes: list[tuple[np.ndarray, np.ndarray]] = []
+LONG = 1024  # bytes of a word from which on it is hashed by itself
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U)  # of the first k bytes
 
 
 def powers(n: int) -> list[np.ndarray]:
@@ -27,20 +26,6 @@ def powers(n: int) -> list[np.ndarray]:
     return [p[:n] for p in _powers]
 
 
-def lanes() -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each lane point**i and point**-i modulo its prime, i < SPAN."""
-    if not _lanes:
-        for prime, point in LANES:
-            out = []
-            for x in (point, pow(point, -1, prime)):
-                p = np.ones(1, U)
-                while len(p) < SPAN:
-                    p = np.concatenate([p, p * U(pow(x, len(p), prime)) % U(prime)])
-                out.append(p)
-            _lanes.append((out[0], out[1]))
-    return _lanes
-
-
 def release() -> None:
     """Give freed memory back to the system: a Python worker stays after its task and counts for its executor."""
     import ctypes
@@ -174,40 +159,26 @@ class Words:
         self.end = np.flatnonzero(solid & (~after | edge[1:])) + 1
         self.first = np.searchsorted(self.start, at)  # of the words of each text, and the end
         self.data, self.at = data, at
-        self.hash = mix(self._hashes())
+        self.hash = self._hashes()
 
     def _hashes(self) -> np.ndarray:
-        """Both lanes of each word's polynomial; equal for equal words wherever they are."""
-        start, end, n = self.start, self.end, len(self.data)
-        out = np.zeros(len(start), U)
-        code, total = np.zeros(SPAN, U), np.zeros(SPAN + 1, U)
-        cut = np.searchsorted(start, np.arange(0, n + SPAN, SPAN))
-        for number, i in enumerate(range(0, n, SPAN)):  # words that begin in this run of bytes
-            j = min(i + SPAN, n)
-            w = slice(cut[number], cut[number + 1])
-            begin = start[w] - i
-            inside = np.minimum(end[w], j) - i
-            np.add(self.data[i:j], U(1), out=code[: j - i], dtype=U)
-            for k, ((prime, _), (p, q)) in enumerate(zip(LANES, lanes())):
-                part = total[1 : j - i + 1]
-                np.multiply(code[: j - i], p[: j - i], out=part)
-                np.cumsum(part, out=part)
-                x = (total[inside] - total[begin]) % U(prime) * q[begin] % U(prime)
-                out[w] |= x << U(31 * k)
-        for m in np.flatnonzero(end // SPAN > start // SPAN):  # a word over the end of a run, if any, for each run
-            if end[m] % SPAN or end[m] - start[m] > SPAN:
-                out[m] = self._long(self.data[start[m] : end[m]])
-        return out + (end - start).astype(U) * U(0x8CB92BA72F3D8DD7)
-
-    @staticmethod
-    def _long(word: np.ndarray) -> np.uint64:
-        out = U(0)
-        for k, ((prime, point), (p, _)) in enumerate(zip(LANES, lanes())):
-            x = 0
-            for i in range(0, len(word), SPAN):
-                part = word[i : i + SPAN].astype(U) + U(1)
-                x = (x + int((part * p[: len(part)]).sum()) % prime * pow(point, i, prime)) % prime
-            out |= U(x) << U(31 * k)
+        """Of each word, eight bytes at a time: each step is one-to-one in the bytes and in the state before, so short words never collide
+        and nothing about a longer word's pattern makes it collide. Equal words have equal hashes wherever they are."""
+        size = self.end - self.start
+        raw = np.zeros(len(self.data) + 8, np.uint8)
+        raw[: len(self.data)] = self.data
+        eight = np.ndarray(len(self.data) + 1, "<u8", raw, strides=(1,))  # the eight bytes from each place on
+        out = (size.astype(U) + U(1)) * U(0x8CB92BA72F3D8DD7)
+        live, at = np.arange(len(size)), self.start
+        for done in range(0, LONG, 8):
+            part = eight[at] & _MASKS[np.minimum(size[live] - done, 8)]
+            out[live] = mix(out[live] + part * U(0x9E3779B97F4A7C15))
+            more = size[live] > done + 8
+            live, at = live[more], at[more] + 8
+            if not len(live):
+                break
+        for m in live:
+            out[m] = U(int.from_bytes(hashlib.blake2b(self.data[self.start[m] : self.end[m]].tobytes(), digest_size=8).digest(), "little"))
         return out
 
     def text(self) -> np.ndarray:
