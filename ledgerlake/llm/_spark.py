@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import uuid
 
@@ -13,6 +14,18 @@ from ledgerlake.session import shared_dir
 _open: list[list[DataFrame]] = []
 
 
+@contextlib.contextmanager
+def few_rows_a_batch(spark: SparkSession, rows: int = 2_000):
+    """Arrow batches of ``rows`` rows at most, as texts are long: each task holds several copies of a batch on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -21,7 +34,8 @@ def settle(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with few_rows_a_batch(spark):
+        df.write.option("compression", "zstd").parquet(path)
     spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._settled = path
