@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ._spark import connected, joined, scratch, settle
-from ._words import U, Words, chunks, mix, released, shingles, streamed, utf8
+from ._words import U, Words, chunks, mix, packed, released, shingles, streamed, unpacked, utf8
 
 ROWS, STEP, SEED, BLOCK, ROOM, BEST, SALT = 5, 20, 0x51ED270B, 1024, 4_000_000, 4, 256
 
@@ -86,7 +86,7 @@ def signer(size: int, bands: int, rows: int = ROWS):
                     keys = mix(keys * U(0xE7037ED1A0B428DB) + sig[:, r::rows] + np.arange(1, bands + 1, dtype=U))
                 keys = keys.view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array([x.tobytes() for x in sig], pa.binary()), pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), pa.array(keys.ravel()))],
+                    [batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), packed(sig), pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), pa.array(keys.ravel()))],
                     ["doc_id", "n_shingles", "s1", "s2", "sig", "bands"],
                 )
 
@@ -100,7 +100,7 @@ def pruner(least: dict[int, int]):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for k in (2, 3))
+            x, y = (unpacked(batch.column(k), np.uint32) for k in (2, 3))
             live, found, done = np.arange(batch.num_rows), np.zeros(batch.num_rows, int), 0
             for n, m in least.items():
                 found = found + (x[live, done:n] == y[live, done:n]).sum(1)
@@ -127,7 +127,7 @@ def pairs_in(bounds: np.ndarray, asks: np.ndarray, limit: int = 1 << 20):
 
 
 def signatures(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), -1)
+    return unpacked(column, np.uint32)
 
 
 #: asker: outside the bucket's largest component; asks, member: the parts that this copy of the row takes.
@@ -272,12 +272,12 @@ def shingler(size: int):
 def dealt(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
     """Rows of ``ROW`` of the buckets of ``members(key, band, u)`` that mix components, dealt into blocks (key, i, j)."""
     now = members.join(labels.select(F.col("node").alias("u"), F.col("component").alias("c")), "u", "left").withColumn("c", F.coalesce("c", "u"))
-    mixed = now.groupBy("key").agg(F.min("c").alias("p"), F.max("c").alias("q")).filter("p < q").select("key")
-    now = settle(now.join(mixed, "key").join(classes.select("u", F.col("n_shingles").alias("n")), "u"))
+    now = settle(now.join(classes.select("u", F.col("n_shingles").alias("n")), "u"))
     parts = now.groupBy("key", "c").agg(F.count("*").alias("rows"), F.sum("n").alias("grams"))
-    main = parts.groupBy("key").agg(F.max_by(F.struct("c", "rows", "grams"), F.struct("rows", "c")).alias("x"), F.sum("rows").alias("rows"), F.sum("grams").alias("grams"))
+    main = parts.groupBy("key").agg(F.max_by(F.struct("c", "rows", "grams"), F.struct("rows", "c")).alias("x"), F.sum("rows").alias("rows"), F.sum("grams").alias("grams")).filter("rows > x.rows")
     blocks = lambda rows, grams: F.greatest(F.ceil(rows / BLOCK), F.ceil(grams / ROOM), F.lit(1).cast("long")).cast("int")
     main = main.select("key", F.col("x.c").alias("main"), blocks(F.col("rows"), F.col("grams")).alias("wide"), blocks(F.col("rows") - F.col("x.rows"), F.col("grams") - F.col("x.grams")).alias("tall"))
+    main = settle(main)  # so that a large bucket can be split in the join
     now = now.join(main, "key").withColumn("asker", F.col("c") != F.col("main"))
     deal = lambda n: F.pmod(F.xxhash64("u"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
