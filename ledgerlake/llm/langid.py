@@ -16,17 +16,19 @@ columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ._spark import settle
 from ._words import U, chunks, mix, released, utf8
 
 SIZES = (2, 3, 4)
-GRAMS, NEAR, CELLS, PROBES = 50_000, 0.25, 1 << 20, 4
+GRAMS, NEAR, CELLS, PROBES, CHUNK = 50_000, 0.25, 1 << 20, 4, 1 << 18
 
 
 def letters(code: np.ndarray) -> np.ndarray:
@@ -39,8 +41,8 @@ def letters(code: np.ndarray) -> np.ndarray:
     return out
 
 
-def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of n-grams of lower-cased letters with one space between words, bounds of each text, whether it has a letter."""
+def grams(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each size, hashes of the n-grams of lower-cased letters with one space between words, and bounds of each text."""
     joined = "\n".join((t or "").replace("\n", " ") for t in texts).lower() + "\n"
     code = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
     ends = np.flatnonzero(code == 10)
@@ -56,22 +58,15 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     once = np.ones(len(sign), bool)
     once[1:] = (sign[1:] != 32) | (sign[:-1] != 32) | (text[1:] != text[:-1])
     sign, text = sign[once], text[once]
-    hashes, owner = [], []
+    out, each = [], np.arange(len(texts) + 1)
     for n in SIZES:
-        if len(sign) < n:
-            continue
-        h = np.full(len(sign) - n + 1, U(n))
+        h = np.full(max(0, len(sign) - n + 1), U(n))
         for k in range(n):
             h = h * U(0x100000001B3) + sign[k : len(sign) - n + 1 + k]
-        whole = text[: len(h)] == text[n - 1 :]
-        hashes.append(mix(h[whole] * U(0x9E3779B97F4A7C15)))
-        owner.append(text[: len(h)][whole])
-    if not hashes:
-        return np.zeros(0, U), np.zeros(len(texts) + 1, np.int64), np.zeros(len(texts), bool)
-    h, o = np.concatenate(hashes), np.concatenate(owner)
-    order = np.argsort(o, kind="stable")
-    bounds = np.searchsorted(o[order], np.arange(len(texts) + 1))
-    return h[order], bounds, np.diff(bounds) > 0
+        of = text[: len(h)]
+        whole = of == text[n - 1 :]
+        out.append((mix(h[whole] * U(0x9E3779B97F4A7C15)), np.searchsorted(of[whole], each)))
+    return out
 
 
 def count(batches):
@@ -89,10 +84,10 @@ def count(batches):
     for batch in batches:
         _, at = utf8(batch.column(0))
         langs = np.array(batch.column(1).to_pylist(), object)
-        for i, j in chunks(at):
+        for i, j in chunks(at, CHUNK):
             texts = batch.column(0).slice(i, j - i).to_pylist()
             for lang in sorted(set(langs[i:j])):
-                h = grams([t for t, x in zip(texts, langs[i:j]) if x == lang])[0]
+                h = np.concatenate([h for h, _ in grams([t for t, x in zip(texts, langs[i:j]) if x == lang])])
                 keys, n = np.unique(h, return_counts=True)
                 held.setdefault(lang, []).append((keys, n))
                 if sum(len(x[0]) for x in held[lang]) > 2_000_000:
@@ -125,16 +120,19 @@ class Model:
         return mask
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        h, bounds, some = grams(texts)
-        if not self.langs:
+        parts = grams(texts)
+        n = sum(np.diff(bounds) for _, bounds in parts)
+        some = n > 0
+        if not self.langs or not some.any():
             return [("und", 0.0)] * len(texts)
-        full, n = np.flatnonzero(some), np.diff(bounds)
-        share, at = np.zeros((len(texts), len(self.langs))), probes(h)
-        for k, lang in enumerate(self.langs if len(full) else []):
-            if k % 64 == 0:
-                mask = self.languages_of(at, k // 64)
-            hits = np.add.reduceat((mask >> U(k % 64) & U(1)).astype(np.int64), bounds[:-1][full])
-            share[full, k] = np.clip((hits / n[full] - self.false[k]) / (1 - self.false[k]), 0, 1)
+        hits = np.zeros((len(self.langs), len(texts)), np.int64)
+        for h, bounds in parts:
+            full, at = np.flatnonzero(np.diff(bounds)), probes(h)
+            for k in range(len(self.langs) if len(full) else 0):
+                if k % 64 == 0:
+                    mask = self.languages_of(at, k // 64)
+                hits[k, full] += np.add.reduceat((mask >> U(k % 64) & U(1)).astype(np.int64), bounds[:-1][full])
+        share = np.clip((hits.T / np.maximum(n, 1)[:, None] - self.false) / (1 - self.false), 0, 1)
         best = share.argmax(1)
         return [(self.langs[b], float(s[b])) if ok else ("und", 0.0) for b, s, ok in zip(best, share, some)]
 
@@ -161,23 +159,21 @@ def learn(rows: DataFrame) -> Model:
     return Model(langs, table, false)
 
 
-def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``keep`` columns of ``docs`` and lang_pred, score (0 to 1: corrected share of the text's n-grams in that language)."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    rows = docs.select(*keep, F.col("text").alias("_text"))
-    names = {c: f"_{i}" for i, c in enumerate(keep)}
+def identify(docs: DataFrame, model: Model) -> Column:
+    """struct(lang_pred, score) of ``text`` of ``docs`` (score 0 to 1: corrected share of the text's n-grams in that language). Only the text goes to Python."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def said(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        def work(batches):
+            for batch in batches:
+                batch = [t if isinstance(t, str) else None for t in batch]
+                size = np.cumsum([0, *(len(t or "") for t in batch)])
+                found = [x for i, j in chunks(size, CHUNK) for x in shared.value.predict(batch[i:j])]
+                yield pd.DataFrame(found, columns=["lang_pred", "score"])
 
-    def work(batches):
-        for batch in batches:
-            _, at = utf8(batch.column(len(keep)))
-            for i, j in chunks(at):
-                found = shared.value.predict(batch.column(len(keep)).slice(i, j - i).to_pylist())
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(len(keep))), pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], [*names.values(), "lang_pred", "score"])
+        yield from released(work)(texts)
 
-    kinds = ", ".join(f"`{names[f.name]}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
-    out = rows.toDF(*names.values(), "_text").mapInArrow(released(work), f"{kinds}, lang_pred string, score double")
-    return out.select(*[F.col(names[c]).alias(c) for c in keep], "lang_pred", "score")
+    return F.pandas_udf(said, "lang_pred string, score double")(F.col("text"))
 
 
 def held_out(docs: DataFrame):
@@ -187,12 +183,12 @@ def held_out(docs: DataFrame):
 def label_languages(docs: DataFrame) -> DataFrame:
     """Learns from the rows of ``docs`` whose crc32(doc_id as text) mod 5 is not 0; doc_id, held_out, lang_pred, score of all."""
     model = learn(docs.filter(~held_out(docs)))
-    out = identify(docs.select("doc_id", "text"), model, ("doc_id",))
-    return out.select("doc_id", held_out(out).alias("held_out"), "lang_pred", "score")
+    out = docs.select("doc_id", held_out(docs).alias("held_out"), identify(docs, model).alias("said"))
+    return out.select("doc_id", "held_out", "said.lang_pred", "said.score")
 
 
 def keep_languages(docs: DataFrame, least: float = 0.05, model: Model | None = None) -> DataFrame:
     """Rows of ``docs`` that are in a learned language: not ``und``, score at least ``least``. Columns as they were."""
     model = model or learn(docs)
-    out = identify(docs, model, tuple(docs.columns))
-    return out.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*docs.columns)
+    said = identify(docs, model)
+    return docs.filter((said["lang_pred"] != "und") & (said["score"] >= least))
