@@ -80,14 +80,15 @@ def removed_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
     halves = distinct.select("o", "h1", F.explode(F.array(*KEYS)).alias("key")).filter("key is not null")
     shared = halves.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("key")
     wanted = settle(halves.select("o", "key").join(shared, "key").groupBy("o.d").agg(F.collect_set("o.line_no").alias("at")))
-    lines = docs.select(d, "text").filter("text is not null").join(wanted, "d").select("d", F.explode("at").alias("line_no"), F.split("text", "\n").alias("lines"))
+    lines = docs.select(d, "text").filter("text is not null").join(wanted, "d").select("d", "at", F.split("text", "\n").alias("lines"))
+    lines = lines.select("d", F.explode("at").alias("line_no"), "lines")
     lines = lines.filter(F.col("line_no") < F.size("lines")).select(order.alias("o"), F.element_at("lines", F.col("line_no") + 1).alias("line"))
-    lines = lines.select("o", F.xxhash64("line").alias("h1"), words(F.col("line")).alias("w")).withColumn("n", F.size("w")).filter(F.col("n") >= min_words)
+    lines = lines.select("o", F.xxhash64("line").alias("h1"), words(F.col("line")).alias("w")).withColumn("n", F.size("w"))
     twice = docs.groupBy(d).agg(F.count("*").alias("n")).filter("n > 1")
     if not twice.isEmpty():  # rows of one doc_id may hold the same line at the same place
         lines = lines.dropDuplicates(["o", "h1"])
     lines = settle(lines.drop("h1"))
-    near = settle(variants(lines))
+    near = settle(variants(lines.filter(F.col("n") >= min_words)))  # only now, or the lines would be split twice
     groups = settle(near.groupBy("v", "i").agg(F.min("o").alias("m"), F.max("o").alias("x")))
     heads = groups.groupBy("v").agg(F.min("m").alias("first"), F.max("x").alias("x"), F.min(F.when(F.col("i") == 0, F.col("m"))).alias("whole"), F.min(F.struct("m", "i")).alias("j")).filter("first < x").drop("x")
     own = F.when(F.col("i") == 0, F.struct(F.col("first").alias("e"), F.col("j.i").alias("k"))).otherwise(F.struct(F.col("m").alias("e"), F.col("i").alias("k")))
