@@ -13,6 +13,7 @@ stays null; equal rows are packed once each; extra columns are ignored; an empty
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_right
 
@@ -32,6 +33,7 @@ forgets.append(_open.clear)
 def tokenizer(path: str) -> tuple:
     """The vocabulary and the ids of words met so far."""
     if path not in _open:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; the library's threads would spin on the others
         from tokenizers import Tokenizer
 
         _open[path] = (Tokenizer.from_file(path), Arena(ROOM))
