@@ -138,7 +138,7 @@ def test_query(spark, tmp_path):
     assert q("SELECT * EXCLUDE (run, attempt, step, split, name, value, nonfinite, t, against, seed), count(*) AS n FROM metrics GROUP BY ALL").count() == 2
     assert q("SELECT status, count(*) AS n FROM runs GROUP BY status").collect() == [("finished", 6)]
     assert q("SELECT count(*) FROM events WHERE kind = 'status'").first()[0] == 6
-    assert q("SELECT count(*) FROM metrics WHERE method = :m", m="npo").first()[0] == 15
+    assert q("SELECT count(*) FROM metrics WHERE method = :m", m="blend").first()[0] == 15
     assert reader.rewrite_exclude("SELECT '* EXCLUDE (a)', * exclude (b)") == "SELECT '* EXCLUDE (a)', * EXCEPT (b)"
     with pytest.raises(Exception, match="metrics"):
         spark.sql("SELECT * FROM metrics").collect()
