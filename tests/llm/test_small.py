@@ -400,6 +400,46 @@ def test_sampling(spark):
     assert all(r.log_weight == 0 for r in sampling.resample(docs, labels.limit(0)).collect())
 
 
+def test_sampling_moves_few_texts_at_every_size(spark):
+    """Of 8 MB of text a tenth is labelled good: only that tenth is shuffled, whether or not Spark would broadcast the labels."""
+
+    def shuffled() -> int:
+        context = spark.sparkContext._jsc.sc()
+        context.listenerBus().waitUntilEmpty(10_000)
+        machines = context.statusStore().executorList(False)
+        return sum(machines.apply(i).totalShuffleWrite() for i in range(machines.size()))
+
+    text = F.concat(*[F.sha2(F.concat_ws("-", "id", F.lit(i)), 512) for i in range(32)])
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), text.alias("text"))
+    labels = docs.select(F.col("doc_id").cast("int").alias("doc_id"), (F.col("doc_id") % 10 == 0).alias("good"))
+    before, moved, out = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), [], []
+    for threshold in ("10m", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            began = shuffled()
+            out.append(sorted(map(tuple, sampling.resample(docs, labels).collect())))
+            moved.append(shuffled() - began)
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert max(moved) < 2_000_000 and max(moved) < 1.1 * min(moved)
+    assert out[0] == out[1] and all(r[2] > -0.5 for r in out[0] if r[0] % 10 == 0) and sum(r[2] < -0.5 for r in out[0]) > 1700
+
+
+def test_filter_of_ids_loses_none(spark, monkeypatch):
+    ids = spark.createDataFrame([(rng.randrange(-(1 << 63), 1 << 63),) for _ in range(3000)] + [(0,), (-1,)], "doc_id long")
+    docs = ids.union(ids).union(spark.range(1, 50_000).toDF("doc_id")).union(spark.createDataFrame([(None,)], "doc_id long"))
+    found = sampling.possible(docs.withColumn("text", F.lit("x")), ids)
+    assert found.columns == ["doc_id", "text"] and found.join(ids, "doc_id", "left_semi").count() == 6004 and found.count() < 6004 + 500
+    assert sampling.possible(docs, ids.limit(0)).count() == 0
+    # A full filter lets all pass; the join behind it is exact.
+    some = spark.createDataFrame([(k, f"{'good' if k % 3 else 'bad'} word{k % 7}") for k in range(90)], "doc_id long, text string")
+    labels = some.select("doc_id", (F.col("doc_id") % 3 > 0).alias("good")).filter("doc_id < 60")
+    want = sorted(map(tuple, sampling.resample(some, labels).collect()))
+    monkeypatch.setattr(sampling, "WORDS", 1)
+    assert sampling.possible(docs, ids).count() == docs.count()
+    assert sorted(map(tuple, sampling.resample(some, labels).collect())) == want
+
+
 def test_kth_largest(spark):
     values = [rng.randrange(1 << 60) for _ in range(200)] + [5, 5, 5]
     df = spark.createDataFrame([(v,) for v in values], "key long")
